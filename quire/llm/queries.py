@@ -1,16 +1,21 @@
 """The registered queries of this subpackage and the SQL that states the same, where SQL can."""
 
+from quire.llm.byte_bpe import op10_byte_bpe
 from quire.llm.chat_format import OP8_SQL, op8_chat_format
 from quire.llm.line_dedup import OP4_SQL, op4_line_dedup
+from quire.llm.quality import OP2_SQL, op2_quality_rules
 from quire.llm.sharding import op7_sharding
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_line_dedup": op4_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_chat_format": op8_chat_format,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES = {
+    "op2_quality_rules": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op8_chat_format": OP8_SQL,
 }
