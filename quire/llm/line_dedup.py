@@ -7,7 +7,9 @@ cover, and the union of the marked lines is cut from the document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import row_key, table
@@ -15,17 +17,26 @@ from quire.llm.common import row_key, table
 WINDOW_LINES = 3
 
 
-def _windows(lines: Column, size: int) -> Column:
-    """(pos, a, b) of each window that holds a word; a and b are two 64-bit hashes of its lines."""
-    starts = F.when(F.size(lines) >= size, F.sequence(F.lit(0), F.size(lines) - size))
-    window = F.transform(
-        starts,
-        lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(lines, i + 1, size), "\n").alias("w")),
-    )
-    filled = F.filter(window, lambda x: F.regexp_replace(x["w"], r"[\x20\x09-\x0D]", "") != "")
-    return F.transform(
-        filled,
-        lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["w"]).alias("a"), F.xxhash64(F.lit("second"), x["w"]).alias("b")),
+def _windows(docs: DataFrame, keys: list[str], text_col: str, size: int) -> DataFrame:
+    """keys, pos and the 128-bit hash (a, b) of each window that holds a word.
+
+    Lines are hashed once; a window's hash is that of its line hashes.
+    """
+    lines = docs.select(
+        *keys,
+        F.transform(
+            F.split(F.col(text_col), "\n", -1),
+            lambda x: F.struct(
+                F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"), x.rlike(r"[^\x20\x09-\x0D]").alias("w")
+            ),
+        ).alias("_lines"),
+    ).where(F.size("_lines") >= size)
+    shifted = [F.slice("_lines", k + 1, F.size("_lines") - (size - 1)).alias(f"l{k}") for k in range(size)]
+    spread = lines.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "_w"))
+    each = [F.col(f"_w.l{k}") for k in range(size)]
+    filled = reduce(lambda x, y: x | y, [x["w"] for x in each])
+    return spread.where(filled).select(
+        *keys, "pos", F.xxhash64(*[x["a"] for x in each]).alias("a"), F.xxhash64(*[x["b"] for x in each]).alias("b")
     )
 
 
@@ -40,12 +51,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     - Of windows that overlap within a document, as in a line said four times, the first stays.
     - A document whose lines are all covered keeps its row, with an empty text.
     """
-    lines = F.split(F.col(text_col), "\n", -1)
     keyed = docs.withColumn("_row", row_key(id_col, text_col))
-    windows = (
-        keyed.where(F.col(text_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), "_row", F.inline(_windows(lines, window)))
-    )
+    windows = _windows(keyed.withColumn("_id", F.col(id_col)), ["_id", "_row"], text_col, window)
     order = F.struct(F.col("_id"), F.col("pos"))
     repeated = (
         windows.groupBy("a", "b")
@@ -62,16 +69,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.collect_set("pos").alias("_starts"))
     )
     covered = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + (window - 1)))))
-    joined = keyed.join(cut.select("_row", covered.alias("_cut")), "_row", "left")
-    left = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut")), lambda i: F.element_at(lines, i + 1)
-    )
+    # Two uses keep the optimiser from splitting the text anew for each line.
+    joined = keyed.join(cut.select("_row", covered.alias("_cut")), "_row", "left").withColumn("_all", F.split(F.col(text_col), "\n", -1))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_cut")), lambda i: F.get("_all", i))
     return joined.select(
         *[
             F.when(F.col("_cut").isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(f"`{c}`")
             for c in docs.columns
         ],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("_n_lines"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_all")).alias("_n_lines"),
         F.coalesce(F.size("_cut"), F.lit(0)).alias("_n_removed"),
     )
 
