@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import table, utf8
+from quire.llm.common import steps, table, utf8
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts are encoded this many bytes at a time, whatever an Arrow batch holds; a longer text is one such step.
@@ -125,20 +125,6 @@ def _loaded(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
-def steps(texts: pa.ChunkedArray | pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, list[str]]]:
-    """The texts in runs of about `most` characters, each with the place of its first; null is empty."""
-    run, size, first = [], 0, 0
-    for i, text in enumerate(texts):
-        value = text.as_py() or ""
-        if run and size + len(value) > most:
-            yield first, run
-            run, size, first = [], 0, i
-        run.append(value)
-        size += len(value)
-    if run:
-        yield first, run
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(id, ids array<int>, token_starts array<int>) of every row: token ids and each token's first code point.
 
@@ -150,7 +136,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)
         for batch in batches:
-            for first, texts in steps(batch.column(1)):
+            for first, texts in steps(batch.column(1), STEP_BYTES):
                 ids = bpe.encode_batch(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -190,7 +176,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bpe = _loaded(path, pattern)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for _, texts in steps(batch.column(1)):
+            for _, texts in steps(batch.column(1), STEP_BYTES):
                 for ids in bpe.encode_batch(texts):
                     packed = np.array(ids, "<u4")
                     counts.append(len(ids))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,17 @@ def row_key(*columns: str) -> Column:
 def hash128(value: Column) -> Column:
     """Two independent 64-bit hashes: equal structs mean equal values at any corpus size."""
     return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit("second"), value).alias("b"))
+
+
+def steps(texts: pa.ChunkedArray | pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
+    """The texts in runs of about `most` characters, each with the place of its first; null is empty."""
+    run, size, first = [], 0, 0
+    for i, text in enumerate(texts):
+        value = text.as_py() or ""
+        if run and size + len(value) > most:
+            yield first, run
+            run, size, first = [], 0, i
+        run.append(value)
+        size += len(value)
+    if run:
+        yield first, run
