@@ -165,8 +165,8 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): every text encoded, its ids decoded, and both digested.
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): every text encoded, its ids decoded, and both digested; with keep_ids also ids.
 
     ids are digested as little-endian unsigned 32-bit integers. Nulls, empty and repeated rows as in encode().
     """
@@ -175,20 +175,25 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
+            at = 0
             for _, texts in steps(batch.column(1), STEP_BYTES):
-                for ids in bpe.encode_batch(texts):
-                    packed = np.array(ids, "<u4")
-                    counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(packed.tobytes()).hexdigest())
-                    text_sha.append(hashlib.sha256(bpe.decode_bytes(packed.tolist())).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                found = bpe.encode_batch(texts)
+                packed = [np.array(ids, "<u4").tobytes() for ids in found]
+                columns = [
+                    batch.column(0).slice(at, len(texts)),
+                    pa.array(list(map(len, found)), pa.int64()),
+                    pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                    pa.array([hashlib.sha256(bpe.decode_bytes(np.frombuffer(p, "<u4").tolist())).hexdigest() for p in packed], pa.string()),
+                ]
+                if keep_ids:
+                    columns.append(pa.array(found, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names)
+                at += len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
+    fields = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+    return docs.select(id_col, text_col).mapInArrow(run, fields)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,5 +183,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs, all columns, whose id is the smallest of their group; rows without an id stay."""
+    found = groups(docs, id_col, text_col, shingle_words, max_bits)
+    gone = durable(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents").select("doc_id", "text"))

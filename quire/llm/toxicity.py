@@ -194,6 +194,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
+def _features(model: Model, texts: pa.Array) -> np.ndarray:
+    found = np.zeros((len(texts), N_FEATURES))
+    for first in range(0, len(texts), 256):
+        words = [words_of(t.as_py()) for t in texts.slice(first, 256)]
+        model.learn(set().union(*words))
+        for i, w in enumerate(words):
+            found[first + i] = model.features(w)
+    return found
+
+
 def _scored(docs: DataFrame, model: Model, keep: list[str], kinds: dict[str, str]) -> DataFrame:
     """Columns `keep` of docs with the features of _text and, once the model has its curve, the score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.ratios, model.curve))
@@ -201,13 +211,7 @@ def _scored(docs: DataFrame, model: Model, keep: list[str], kinds: dict[str, str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            texts = batch.column(len(keep))
-            found = np.zeros((len(batch), N_FEATURES))
-            for first in range(0, len(batch), 256):
-                words = [words_of(t.as_py()) for t in texts.slice(first, 256)]
-                own.learn(set().union(*words))
-                for i, w in enumerate(words):
-                    found[first + i] = own.features(w)
+            found = _features(own, batch.column(len(keep)))
             columns = [pa.array(found[:, k]) for k in range(N_FEATURES)]
             if own.curve is not None:
                 columns.append(pa.array(own.scores(found)))
@@ -228,6 +232,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("_id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that are not predicted toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.ratios, model.curve))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(own.scores(_features(own, batch.column(place))) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
