@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.llm.common import WORD, durable, table
+from quire.llm.common import durable, table, utf8
 
 MARGINS = ("source", "lang", "topic")
 #: Default targets: a value's share of all tokens to this power, scaled to sum to one.
@@ -29,14 +31,24 @@ SHAPES = (("table", "|", 1), ("symbols", "#*$%&<>", 2), ("numbers", "0123456789"
 SHORT_WORDS, LONG_WORDS = 100, 1000
 
 
-def topic(text: Column, words: Column) -> Column:
-    """The shape of a text, which stands in for its topic where a corpus has none: table, symbols, numbers, capitals,
-    or else short, middle or long prose; texts without words are empty."""
-    out = F.when(words == 0, "empty")
+def shape(text: str) -> tuple[int, str]:
+    """Words of a text, and its shape, which stands in for a topic where a corpus has none: table, symbols, numbers,
+    capitals, or else short, middle or long prose; texts without words are empty."""
+    data = utf8(text)
+    words = len(data.split())
+    if not words:
+        return 0, "empty"
     for name, chars, percent in SHAPES:
-        found = F.length(text) - F.length(F.translate(text, chars, ""))
-        out = out.when(found * 100 >= F.length(text) * percent, name)
-    return out.when(words < SHORT_WORDS, "short").when(words >= LONG_WORDS, "long").otherwise("middle")
+        if (len(data) - len(data.translate(None, chars.encode()))) * 100 >= len(text) * percent:
+            return words, name
+    return words, "short" if words < SHORT_WORDS else "long" if words >= LONG_WORDS else "middle"
+
+
+@F.arrow_udf(T.StructType([T.StructField("words", T.LongType()), T.StructField("topic", T.StringType())]))
+def shapes(texts: pa.Array) -> pa.Array:
+    """shape() of an Arrow batch; null counts as empty."""
+    found = [shape(t.as_py() or "") for t in texts]
+    return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], ["words", "topic"])
 
 
 def _share(mass: DataFrame, column: str, power: float) -> DataFrame:
@@ -83,17 +95,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     - Null source, language or topic is a value of its own. Null and empty texts weigh one and are drawn like others.
     - An empty table stays empty.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.regexp_count(text, F.lit(WORD))
     value = lambda c: F.coalesce(c.cast("string"), F.lit(NULL))
-    cells_of = docs.withColumn("_words", words)
-    placed = cells_of.withColumns(
+    placed = docs.withColumn("_shape", shapes(F.col(text_col))).withColumns(
         {
             "_source": value(F.col(source_col)), "_lang": value(F.col(lang_col)),
-            "_topic": value(F.col(topic_col)) if topic_col else topic(text, F.col("_words")),
-            "_tokens": (F.col("_words") + 1).cast("long"),
+            "_topic": value(F.col(topic_col)) if topic_col else F.col("_shape.topic"), "_tokens": F.col("_shape.words") + 1,
         }
-    ).drop("_words")
+    ).drop("_shape")
     cells = durable(
         placed.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("mass"))
     )
