@@ -14,6 +14,8 @@ from quire.llm.common import table
 
 #: Turn numbers of one part; a dialogue that runs past it is rendered in parts, which follow each other.
 PART_TURNS = 512
+#: Up to so many conversations in several parts, their speakers go to every task; more are joined by shuffle.
+BROADCAST_CONVERSATIONS = 50_000
 UNNAMED = "unknown"
 SYSTEM = "system"
 
@@ -55,11 +57,23 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         who.alias("who"),
         F.coalesce(F.col(text_col), F.lit("")).alias("said"),
     ).withColumn("_part", F.floor(F.col("nr") / part_turns).cast("long"))
-    parts = rows.groupBy("_conv", "_part").agg(F.array_sort(F.collect_list(F.struct("nr", "who", "said"))).alias("_turns"), F.collect_set("who").alias("_who"))
-    speakers = parts.groupBy("_conv").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_who")))).alias("_all"))
-    # Under AQE the join of parts and speakers reuses their partitioning by conversation.
-    joined = parts.join(speakers.withColumnRenamed("_conv", "_c"), F.col("_conv").eqNullSafe(F.col("_c")))
-    each = joined.select("_conv", "_part", "_turns", F.explode(F.filter("_all", lambda w: w != SYSTEM)).alias("participant"))
+    parts = rows.groupBy("_conv", "_part").agg(
+        F.array_sort(F.collect_list(F.struct("nr", "who", "said"))).alias("_turns"), F.array_sort(F.collect_set("who")).alias("_who")
+    )
+    # A conversation of part 0 alone has all its speakers at hand; only of the others they are gathered over the parts.
+    long = rows.where("_part > 0").select("_conv").distinct()
+    joint = F.struct(F.col("_conv").alias("c"))  # a struct is never null, so that null ids meet
+    speakers = (
+        rows.select("_conv", "who").join(long.select(joint.alias("_k")), joint == F.col("_k"), "left_semi")
+        .groupBy(joint.alias("_k")).agg(F.array_sort(F.collect_set("who")).alias("_all"))
+    )
+    if long.count() <= BROADCAST_CONVERSATIONS:
+        speakers = F.broadcast(speakers)
+    joined = parts.join(speakers, joint == F.col("_k"), "left")
+    each = joined.select(
+        "_conv", "_part", "_turns",
+        F.explode(F.filter(F.coalesce("_all", "_who"), lambda w: w != SYSTEM)).alias("participant"),
+    )
     drawn = each.select("_conv", "_part", "participant", _rendered(F.col("_turns"), F.col("participant")).alias("_t"))
     size = lambda x: F.length(x["head"]) + F.length(x["body"]) + len(TAIL)
     spans = F.aggregate(
