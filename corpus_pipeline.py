@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quire.llm import byte_bpe, line_dedup, mixing, simhash, toxicity
 from quire.llm.common import table
 
-#: Near copies share five-word shingles.
+#: Near copies share four fifths of their five-word shingles.
 SHINGLE_WORDS = 5
 
 

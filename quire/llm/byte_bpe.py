@@ -23,13 +23,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import steps, table, utf8
+from quire.llm.common import release_memory, small_batches, steps, table, utf8
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts are encoded this many bytes at a time, whatever an Arrow batch holds; a longer text is one such step.
 STEP_BYTES = 4 << 20
 #: Distinct pieces a worker remembers from one step to the next; then it starts afresh.
-MEMORY_PIECES = 200_000
+MEMORY_PIECES = 100_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -122,7 +122,9 @@ class ByteBPE:
 
 @lru_cache(maxsize=2)
 def _loaded(path: str, pattern: str) -> ByteBPE:
-    return ByteBPE(path, pattern)
+    loaded = ByteBPE(path, pattern)
+    release_memory()
+    return loaded
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -148,7 +150,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, token_starts array<int>")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, token_starts array<int>")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -189,11 +191,12 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     columns.append(pa.array(found, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names)
                 at += len(texts)
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
     fields = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return docs.select(id_col, text_col).mapInArrow(run, fields)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, fields)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -31,6 +33,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that an Arrow batch takes at most, but for a single longer row.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by bytes: ten thousand long texts at once are too much for a worker."""
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH_SETTING, str(BATCH_BYTES * 2)).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system: a worker that goes on to other stages would keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows of df, written to the cluster's checkpoint folder, its lineage cut.
 

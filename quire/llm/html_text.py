@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import durable, row_key, table
+from quire.llm.common import durable, row_key, small_batches, table
 
 #: Tokens of a run, and distinct pages of the host that have to share it.
 RUN_TOKENS = 8
@@ -286,7 +286,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
       parents, unclosed comments and scripts with the page. Repeated rows get a row each. Pages without a URL are
       one host. Other columns are not looked at.
     """
-    keyed = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
+    keyed = small_batches(pages).select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     row = row_key("_id", "_url", "_html")
     fields = "host string, run long, n_pages long, row long, blocks array<struct<kind:int,text:string,linked:int>>"
     streams = durable(keyed.select(row.alias("row"), "_url", "_html").mapInArrow(_streams, fields))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import steps, table, utf8
+from quire.llm.common import small_batches, steps, table, utf8
 
 BLOCK = 64
 #: Restart intervals decoded side by side, and blocks encoded at once.
@@ -418,7 +418,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature", *(["media"] if keep_media else [])]
     kinds = [docs.schema[id_col].dataType.simpleString(), "long", "long", "string", "long", "long", "string", "long", "long", "string", *(["binary"] if keep_media else [])]
-    return docs.select(id_col, text_col).mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

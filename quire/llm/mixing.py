@@ -9,14 +9,14 @@ its documents are drawn.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import durable, table, utf8
+from quire.llm.common import durable, release_memory, small_batches, table, utf8
 
 MARGINS = ("source", "lang", "topic")
 #: Default targets: a value's share of all tokens to this power, scaled to sum to one.
@@ -44,11 +44,19 @@ def shape(text: str) -> tuple[int, str]:
     return words, "short" if words < SHORT_WORDS else "long" if words >= LONG_WORDS else "middle"
 
 
-@F.arrow_udf(T.StructType([T.StructField("words", T.LongType()), T.StructField("topic", T.StringType())]))
-def shapes(texts: pa.Array) -> pa.Array:
-    """shape() of an Arrow batch; null counts as empty."""
-    found = [shape(t.as_py() or "") for t in texts]
-    return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], ["words", "topic"])
+def _measured(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with _words and _shape of the text. By mapInArrow like the other operators, so that a task needs no second worker."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shape(t.as_py() or "") for t in batch.column(place)]
+            columns = [pa.array([n for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "_words", "_shape"])
+        release_memory()
+
+    added = [T.StructField("_words", T.LongType()), T.StructField("_shape", T.StringType())]
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def _share(mass: DataFrame, column: str, power: float) -> DataFrame:
@@ -96,14 +104,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     - An empty table stays empty.
     """
     value = lambda c: F.coalesce(c.cast("string"), F.lit(NULL))
-    placed = docs.withColumn("_shape", shapes(F.col(text_col))).withColumns(
-        {
-            "_source": value(F.col(source_col)), "_lang": value(F.col(lang_col)),
-            "_topic": value(F.col(topic_col)) if topic_col else F.col("_shape.topic"), "_tokens": F.col("_shape.words") + 1,
-        }
-    ).drop("_shape")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return _measured(rows, text_col).withColumns(
+            {
+                "_source": value(F.col(source_col)), "_lang": value(F.col(lang_col)),
+                "_topic": value(F.col(topic_col)) if topic_col else F.col("_shape"), "_tokens": F.col("_words") + 1,
+            }
+        ).drop("_shape", "_words")
+
+    needed = list(dict.fromkeys([text_col, source_col, lang_col, *([topic_col] if topic_col else [])]))
     cells = durable(
-        placed.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("mass"))
+        placed(docs.select(*needed)).groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("mass"))
     )
     raked = rake(cells, targets=targets, power=power, rounds=rounds)
     ratio = raked.withColumn("_ratio", F.col("weight") / F.col("mass"))
@@ -114,7 +126,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     if cells.count() <= BROADCAST_CELLS:
         drawn = F.broadcast(drawn)
-    joined = placed.join(drawn, ["_source", "_lang", "_topic"])
+    joined = placed(docs).join(drawn, ["_source", "_lang", "_topic"])
     return joined.select(
         *[F.col(f"`{c}`") for c in docs.columns], "_topic", "_tokens", "_probability", (uniform(id_col) < F.col("_probability")).alias("_kept")
     )

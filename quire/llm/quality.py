@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import ascii_lower, durable, table, utf8
+from quire.llm.common import ascii_lower, durable, small_batches, table, utf8
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -87,7 +87,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     """
     kind = docs.schema[id_col].dataType.simpleString()
     stats = durable(
-        docs.select(F.col(id_col), F.coalesce(F.col(host_col).cast("string"), F.lit("\0null")), F.col(text_col), F.xxhash64(F.col(text_col)))
+        small_batches(docs).select(F.col(id_col), F.coalesce(F.col(host_col).cast("string"), F.lit("\0null")), F.col(text_col), F.xxhash64(F.col(text_col)))
         .mapInArrow(_measured, f"_id {kind}, _host string, _text_hash long, {', '.join(f'{n} ' + {pa.int64(): 'long', pa.list_(pa.int64()): 'array<long>', pa.list_(pa.int32()): 'array<int>'}[t] for n, t in _STATS)}")
         .withColumn("_row", F.monotonically_increasing_id())
     )

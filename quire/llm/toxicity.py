@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import durable, table
+from quire.llm.common import durable, release_memory, small_batches, table
 
 FOLDS = 5
 #: Labelled rows that the models count at most, and rows that the logistic curve is fitted on; by a hash of the id.
@@ -34,11 +34,11 @@ DISCOUNT = 0.75
 #: Contexts that the backoff of an expression weighs.
 BACKOFF_WEIGHT = 6.0
 #: Expressions closer to their backoff than this are left to it.
-LEAST_SHIFT = 0.05
+LEAST_SHIFT = 0.35
 #: Ratios above this speak for toxicity by themselves.
 TELLING = 1.0
 MARKS = b".,!?;:|#%&$*\"()'`~_-<>[]{}/\\"
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 150_000
 N_FEATURES = 4
 
 
@@ -72,6 +72,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             ["word", "stem", "n0", "n1"],
         )
+    release_memory()
 
 
 def _smoothed(n0: Column, n1: Column, backoff: Column) -> Column:
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         part = min(1.0, most / max(1, sizes.get(curve, 0)))
         return rows.where((F.col("_curve") == curve) & (F.col("_u") < int(part * (1 << 40)))).select("_id", "_toxic")
 
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    text = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     counts = durable(
         text.join(F.broadcast(chosen(False, model_rows)), "_id").select("_text", "_toxic")
         .mapInArrow(_counted, "word long, stem long, n0 long, n1 long")
@@ -185,8 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         entries = words.where(shifted).select(F.col("word").alias("key"), log_odds(F.col("q")).cast("float").alias("ratio")).union(
             stems.where(F.abs(log_odds(F.col("p"))) >= LEAST_SHIFT).select("stem", log_odds(F.col("p")).cast("float"))
         )
-        found = entries.toPandas()
-        model = Model(found["key"].to_numpy(np.int64), found["ratio"].to_numpy(np.float32))
+        found = entries.toArrow()
+        model = Model(found.column("key").to_numpy(), found.column("ratio").to_numpy())
     sample = _scored(text.join(F.broadcast(chosen(True, curve_rows)), "_id"), model, ["_toxic"], {"_toxic": "int"}).toPandas()
     features = sample[[f"f{k}" for k in range(N_FEATURES)]].to_numpy(float)
     model.curve = fit_curve(features, sample["_toxic"].to_numpy(float))
@@ -216,9 +217,11 @@ def _scored(docs: DataFrame, model: Model, keep: list[str], kinds: dict[str, str
             if own.curve is not None:
                 columns.append(pa.array(own.scores(found)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names)
+        del own
+        release_memory()
 
     names = [*keep, *[f"f{k}" for k in range(N_FEATURES)], *(["score"] if model.curve is not None else [])]
-    return docs.select(*keep, "_text").mapInArrow(run, ", ".join(f"`{n}` {kinds.get(n, 'double')}" for n in names))
+    return small_batches(docs).select(*keep, "_text").mapInArrow(run, ", ".join(f"`{n}` {kinds.get(n, 'double')}" for n in names))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,8 +244,10 @@ def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         own = Model(*shared.value)
         for batch in batches:
             yield batch.filter(pa.array(own.scores(_features(own, batch.column(place))) < 0.5))
+        del own
+        release_memory()
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from quire.llm.components import connected_components
-from quire.llm.simhash import fingerprint, groups, keep_one, key_masks, links_within, near_links, signed
+from quire.llm.simhash import bits_close, fingerprint, groups, keep_one, key_masks, links_within, near_groups, near_links, signed
 
 
 def slow_fingerprint(text, size=3):
@@ -53,11 +53,10 @@ def test_every_close_pair_meets_under_a_key(max_bits, wide):
 def test_links_within_spans_components():
     rng = random.Random(2)
     values = np.array(list({signed(sum(1 << b for b in rng.sample(range(64), 2))) for _ in range(400)}), np.int64)
-    a, b = links_within(np.zeros(len(values), int), values, 3)
-    place = {int(v): i for i, v in enumerate(values)}
+    a, b = links_within(np.zeros(len(values), int), bits_close(values, 3))
     root = list(range(len(values)))
     for x, y in zip(a, b):
-        root[place[int(x)]] = root[place[int(y)]]
+        root[int(x)] = root[int(y)]
     assert len({r for r in roots([int(v) for v in values], 3)}) == len(values) - len(a)
 
 
@@ -103,6 +102,27 @@ def test_one_of_each_group_stays_and_empty_tables_pass(spark):
     assert groups(frame.limit(0)).count() == 0
 
 
+def test_near_copies_of_four_fifths(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    shingle_set = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows, near, far = [], [], []
+    for i in range(0, 400, 2):
+        text = [rng.choice(words) for _ in range(300)]
+        edits = rng.choice((2, 4, 6, 40))
+        other = list(text)
+        for place in rng.sample(range(300), edits):
+            other[place] = "new" + str(place)
+        a, b = shingle_set(text), shingle_set(other)
+        similarity = len(a & b) / len(a | b)
+        (near if similarity >= 0.8 else far if similarity < 0.6 else []).append(i)
+        rows += [(i, " ".join(text)), (i + 1, " ".join(other))]
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 80 and len(far) > 20
+    assert sum(got[i + 1] == i for i in near) >= 0.95 * len(near)
+    assert all(got[i + 1] == i + 1 for i in far)
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
