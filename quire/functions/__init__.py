@@ -1 +1 @@
-
+"""Functions that Spark lacks."""

@@ -125,10 +125,14 @@ def pack(items: DataFrame, by: list[str], budget: int = CONTEXT_TOKENS, high: fl
 
     In order of score, sections before tables and then ord on ties: whole from `high` on, their beginning from `medium` on,
     else not at all. What does not fit is passed over and later ones may still fit, so this is a fold, not a running sum.
-    Only lengths go through the fold, and only of items that could be taken.
+    Only lengths go through the fold, and only of items that could be taken: of those of one size no more than the budget
+    holds, the first ones, since a size that does not fit once never fits again. So no group is too long for its task.
     """
     able = items.where(F.col("score") >= medium).withColumn("shortened", F.col("score") < high)
     able = able.withColumn("est", F.floor(F.when(F.col("shortened"), F.least(F.length("text"), F.lit(SHORTENED))).otherwise(F.length("text")) / CHARS_PER_TOKEN))
+    order = [F.col("score").desc(), F.when(F.col("type") == "table", 1).otherwise(0), F.col("ord"), F.col("item_id")]
+    nth = F.row_number().over(W.partitionBy(*by, "est").orderBy(*order))
+    able = able.where(F.col("est") <= budget).withColumn("_nth", nth).where((F.col("est") == 0) | (F.col("_nth") * F.col("est") <= budget)).drop("_nth")
     entry = F.struct((-F.col("score")).alias("neg"), F.when(F.col("type") == "table", 1).otherwise(0).alias("kind"), "ord", "item_id", "est")
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<type:int,item_id:string,ord:bigint,used:bigint>>").alias("taken"))
 

@@ -1 +1 @@
-
+"""Whole ways: the engine and the registered queries."""

@@ -174,11 +174,11 @@ def cell_places(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, regexp_extract(w, '\\s+([a-z](?:\\s*,\\s*[a-z])*)\\s*$', 1) AS refs FROM (SELECT doc_id, regexp_extract(text, '^[^\\n]{0,60}') || ' a, ' || chr(CAST(98 + doc_id % 20 AS INTEGER)) AS w FROM documents)
+SELECT doc_id, regexp_extract(w, '\\s+([a-z](?:\\s*,\\s*[a-z])*)\\s*$', 1) AS refs FROM (SELECT doc_id, text || ' a, ' || chr(CAST(98 + doc_id % 20 AS INTEGER)) AS w FROM documents)
 """)
 def footnote_refs(spark, sf_dir):
     """Marks at the end of a cell."""
-    cell = F.concat(F.regexp_extract("text", r"^[^\n]{0,60}", 0), F.lit(" a, "), F.chr((98 + F.col("doc_id") % 20).cast("long")))
+    cell = F.concat("text", F.lit(" a, "), F.chr((98 + F.col("doc_id") % 20).cast("long")))
     return t(spark, sf_dir, "documents").select("doc_id", F.array_join(tables.footnote_refs(cell), ", ").alias("refs"))
 
 
@@ -279,12 +279,12 @@ def section_context(spark, sf_dir):
 # ---- retrieval -------------------------------------------------------------------------------------------------------
 @query("""
 WITH ids AS (SELECT DISTINCT * FROM (SELECT CAST(n_regionkey AS VARCHAR) AS id FROM nation UNION ALL SELECT n_regionkey || '.' || n_nationkey FROM nation
-             UNION ALL SELECT n_regionkey || '.' || n_nationkey || '.' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0))
+             UNION ALL SELECT n_regionkey || '.' || n_nationkey || '.' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey))
 SELECT id FROM ids a WHERE NOT EXISTS (SELECT 1 FROM ids b WHERE b.id LIKE a.id || '.%')
 """)
 def leaf_filter(spark, sf_dir):
     """Region, nation and customer as dotted ids; those that no other id continues."""
-    n, c = t(spark, sf_dir, "nation"), t(spark, sf_dir, "customer").where("c_custkey % 3 = 0")  # a third of them, so that some nations are leaves
+    n, c = t(spark, sf_dir, "nation"), t(spark, sf_dir, "customer")
     two = n.select(F.concat_ws(".", "n_regionkey", "n_nationkey").alias("id"))
     three = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws(".", "n_regionkey", "n_nationkey", "c_custkey").alias("id"))
     ids = n.select(F.col("n_regionkey").cast("string").alias("id")).unionByName(two).unionByName(three).distinct()
@@ -474,7 +474,7 @@ def cross_field(spark, sf_dir):
 
 
 _NUMBERS = r"""
-nt AS (SELECT doc_id, 'IC-4 and AB-77 of Amendment 6 in 2021: ' || doc_id % 50 || '.5 C, ' || 900 + doc_id % 300 || '.25 mg, ' || doc_id || ' units; ' || left(text, 200) AS s FROM documents),
+nt AS (SELECT doc_id, 'IC-4 and AB-77 of Amendment 6 in 2021: ' || doc_id % 50 || '.5 C, ' || 900 + doc_id % 300 || '.25 mg, ' || doc_id || ' units; ' || text AS s FROM documents),
 nc AS (SELECT doc_id, s, regexp_replace(regexp_replace(s, 'COVID-19|SARS-CoV-2|mRNA-[0-9]+|P-?[0-9]+|Amendment\s+[0-9]+|Version\s+[0-9]+', '', 'g'), 'IC-[0-9]+|EC-[0-9]+|DR-[0-9]+|[A-Z]{2}-[0-9]+', '', 'g') AS c FROM nt),
 nn AS (SELECT doc_id, CAST(unnest(regexp_extract_all(c, '[0-9]+\.?[0-9]*')) AS DOUBLE) AS n FROM nc),
 nk AS (SELECT DISTINCT doc_id, n FROM nn WHERE NOT (n BETWEEN 1900 AND 2100) AND NOT (n > 1000 AND n <> round(n)))
@@ -483,7 +483,7 @@ nk AS (SELECT DISTINCT doc_id, n FROM nn WHERE NOT (n BETWEEN 1900 AND 2100) AND
 
 def _number_text(spark, sf_dir) -> DataFrame:
     d = F.col("doc_id")
-    s = F.concat(F.lit("IC-4 and AB-77 of Amendment 6 in 2021: "), (d % 50).cast("string"), F.lit(".5 C, "), (900 + d % 300).cast("string"), F.lit(".25 mg, "), d.cast("string"), F.lit(" units; "), F.left("text", F.lit(200)))
+    s = F.concat(F.lit("IC-4 and AB-77 of Amendment 6 in 2021: "), (d % 50).cast("string"), F.lit(".5 C, "), (900 + d % 300).cast("string"), F.lit(".25 mg, "), d.cast("string"), F.lit(" units; "), F.col("text"))
     return t(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
 
 
@@ -523,13 +523,13 @@ def source_grounding(spark, sf_dir):
 
 
 _MARKED = """
-mk AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '[Page ' || doc_id % 7 || '] ' END || 'of §' || doc_id % 9 || '.1 and 15.3, ' || left(text, 50) AS ctx, CAST(doc_id % 6 - 1 AS INTEGER) AS page, doc_id % 5 || '.' || doc_id % 3 AS sec FROM documents)
+mk AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '[Page ' || doc_id % 7 || '] ' END || 'of §' || doc_id % 9 || '.1 and 15.3, ' || text AS ctx, CAST(doc_id % 6 - 1 AS INTEGER) AS page, doc_id % 5 || '.' || doc_id % 3 AS sec FROM documents)
 """
 
 
 def _marked(spark, sf_dir) -> DataFrame:
     d = F.col("doc_id")
-    ctx = F.concat(F.when(d % 3 == 0, "").otherwise(F.concat(F.lit("[Page "), (d % 7).cast("string"), F.lit("] "))), F.lit("of §"), (d % 9).cast("string"), F.lit(".1 and 15.3, "), F.left("text", F.lit(50)))
+    ctx = F.concat(F.when(d % 3 == 0, "").otherwise(F.concat(F.lit("[Page "), (d % 7).cast("string"), F.lit("] "))), F.lit("of §"), (d % 9).cast("string"), F.lit(".1 and 15.3, "), F.col("text"))
     return t(spark, sf_dir, "documents").select("doc_id", ctx.alias("ctx"), (d % 6 - 1).cast("int").alias("page"), F.concat_ws(".", d % 5, d % 3).alias("sec"))
 
 
@@ -545,22 +545,23 @@ def page_and_section_refs(spark, sf_dir):
 
 @query(f"""
 WITH {_CLAIMS},
-v AS (SELECT d.source, c.doc_id, src, CASE WHEN quote = '' THEN '- skip' WHEN c.doc_id % 11 = 0 AND NOT regexp_matches(quote, '[0-9]') THEN 'X' WHEN c.doc_id % 11 = 0 THEN '?' ELSE 'V no numbers' END AS num, c.doc_id % 4 > 0 AS page_ok FROM cs c JOIN documents d USING (doc_id)),
-w AS (SELECT source, CASE WHEN src LIKE 'V%' AND num LIKE 'V%' AND page_ok THEN 'VERIFIED' WHEN num LIKE 'X%' THEN 'FAILED_NUMBERS' WHEN src NOT LIKE 'V%' THEN 'FAILED_SOURCE' ELSE 'FLAGGED' END AS verdict FROM v WHERE num <> '?')
+m AS (SELECT *, regexp_extract_all(regexp_replace(regexp_replace(quote, 'COVID-19|SARS-CoV-2|mRNA-[0-9]+|P-?[0-9]+|Amendment\\s+[0-9]+|Version\\s+[0-9]+', '', 'g'), 'IC-[0-9]+|EC-[0-9]+|DR-[0-9]+|[A-Z]{{2}}-[0-9]+', '', 'g'), '[0-9]+\\.?[0-9]*') AS ns FROM cs),
+v AS (SELECT d.source, m.doc_id, src, CASE WHEN quote = '' THEN '- skip' WHEN m.doc_id % 11 > 0 THEN 'V no numbers'
+      WHEN len(list_filter(ns, lambda x: abs(CAST(x AS DOUBLE) - 777) < 0.5)) > 0 THEN 'V' ELSE 'X' END AS num, m.doc_id % 4 > 0 AS page_ok FROM m JOIN documents d USING (doc_id)),
+w AS (SELECT source, CASE WHEN src LIKE 'V%' AND (num LIKE 'V%' OR num LIKE '-%') AND page_ok THEN 'VERIFIED' WHEN num LIKE 'X%' THEN 'FAILED_NUMBERS' WHEN src NOT LIKE 'V%' THEN 'FAILED_SOURCE' ELSE 'FLAGGED' END AS verdict FROM v)
 SELECT source, count(*) FILTER (verdict = 'VERIFIED') AS verified, count(*) FILTER (verdict = 'FLAGGED') AS flagged, count(*) FILTER (verdict LIKE 'FAILED%') AS failed, count(*) AS total FROM w GROUP BY source
 """)
 def verdict_summary(spark, sf_dir):
     """Verdicts of claims by source."""
     d = F.col("doc_id")
     claim = F.when(d % 11 == 0, "exactly 777 of them").otherwise("some of them")
-    c = _claims(spark, sf_dir).where(~((d % 11 == 0) & F.col("exact_source_text").rlike("[0-9]")))  # those would need the numbers' rule in SQL
-    rows = c.select("doc_id", "source", "context", "exact_source_text", claim.alias("claim"), (d % 4).cast("int").alias("page"), F.lit("").alias("section_id"), F.lit(None).cast("string").alias("completeness"))
+    rows = _claims(spark, sf_dir).select("doc_id", "source", "context", "exact_source_text", claim.alias("claim"), (d % 4).cast("int").alias("page"), F.lit("").alias("section_id"), F.lit(None).cast("string").alias("completeness"))
     marked = rows.withColumn("context", F.regexp_replace("context", r"\[Page", "(Page"))
     return validate.summarize(validate.validate(marked), ["source"])
 
 
 @query(r"""
-WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'criteria ' || left(text, 40) ELSE left(text, 40) END AS endpoint, CASE WHEN conv_id % 3 = 0 THEN 'N/A' WHEN conv_id % 3 = 1 THEN '' ELSE 'Day 1' END AS timing FROM conversations),
+WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'criteria ' || text ELSE text END AS endpoint, CASE WHEN conv_id % 3 = 0 THEN 'N/A' WHEN conv_id % 3 = 1 THEN '' ELSE 'Day 1' END AS timing FROM conversations),
 i AS (SELECT conv_id, turn, CASE WHEN timing IN ('', 'N/A') THEN 'missing timing' END AS a,
       CASE WHEN regexp_matches(lower(endpoint), 'defined as|criteria|following') AND NOT regexp_matches(endpoint, '[0-9]') THEN 'criteria mentioned but no thresholds' END AS b FROM c)
 SELECT conv_id, turn, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN 'W ' || concat_ws('; ', a, b) END AS completeness FROM i
@@ -568,23 +569,22 @@ SELECT conv_id, turn, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN 'W ' || conc
 def completeness(spark, sf_dir):
     """V7, V8: what items lack."""
     c = t(spark, sf_dir, "conversations")
-    start = F.left("text", F.lit(40))
-    endpoint = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("criteria "), start)).otherwise(start)
+    endpoint = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("criteria "), "text")).otherwise(F.col("text"))
     timing = F.when(F.col("conv_id") % 3 == 0, "N/A").when(F.col("conv_id") % 3 == 1, "").otherwise("Day 1")
     return c.select("conv_id", "turn", validate.completeness_check(validate.claim_text(endpoint), timing, F.lit(True)).alias("completeness"))
 
 
 # ---- control ---------------------------------------------------------------------------------------------------------
 @query("""
-WITH a AS (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
-b AS (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id % 5 = 1 GROUP BY ALL)
+WITH a AS (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY ALL),
+b AS (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_type = 'purchase' GROUP BY ALL)
 SELECT * FROM b UNION ALL SELECT * FROM a ANTI JOIN b USING (user_id)
 """)
 def state_upsert(spark, sf_dir):
-    """A second state laid over a first by user."""
+    """Each user's last event, and over it the last purchase of those who bought."""
     e = t(spark, sf_dir, "events")
     last = lambda rows: rows.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
-    return control.upsert(last(e.where("event_id % 2 = 0")), last(e.where("event_id % 5 = 1")), ["user_id"])
+    return control.upsert(last(e), last(e.where("event_type = 'purchase'")), ["user_id"])
 
 
 @query("""
@@ -680,15 +680,15 @@ def continuation_merge(spark, sf_dir):
 
 
 @query("""
-WITH x AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 7 <> 0 AND doc_id < 100), all_of AS (SELECT DISTINCT s.source, l.lang FROM documents s, (SELECT DISTINCT lang FROM documents) l)
+WITH x AS (SELECT DISTINCT source, lang FROM documents WHERE contains(text, ' | ')), all_of AS (SELECT DISTINCT s.source, l.lang FROM documents s, (SELECT DISTINCT lang FROM documents) l)
 SELECT source, lang AS category FROM all_of ANTI JOIN x USING (source, lang)
 """)
 def missing_categories(spark, sf_dir):
-    """Languages that the first documents of a source lack."""
-    docs = t(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("category"))
+    """Languages in which a source has no document with a table."""
+    docs = t(spark, sf_dir, "documents").select("text", "source", F.col("lang").alias("category"))
     every = docs.agg(F.collect_set("category").alias("c"))  # one row
     expected = docs.select("source").distinct().crossJoin(F.broadcast(every)).select("source", F.explode("c").alias("category"))
-    return outline.missing_categories(expected, docs.where("doc_id % 7 <> 0 and doc_id < 100"), ["source"])
+    return outline.missing_categories(expected, docs.where(F.col("text").contains(" | ")), ["source"])
 
 
 @query("""

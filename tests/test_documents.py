@@ -1,6 +1,7 @@
 """Hand-worked cases over one small document."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,22 +11,7 @@ from quire.plans import engine
 from quire.session import Settings
 from quire.sources import documents as sources
 
-para = lambda text, page: {"type": "paragraph", "text": text, "source": {"page": page}}
-DEMO = {
-    "filename": "demo.pdf", "total_pages": 6,
-    "sections": [
-        {"number": "1", "title": "SUMMARY", "page_range": [1], "content_blocks": [para("Overview.", 1)]},
-        {"number": "1.1", "title": "Synopsis", "page_range": [1, 2], "content_blocks": [
-            para("See Section 5.1 for criteria.", 1),
-            {"type": "list", "list_items": [{"marker": "a)", "text": "first", "sub_items": [{"marker": "-", "text": "sub"}]}, {"marker": "b)", "text": "second"}]}]},
-        {"number": "5.10", "title": "Screen Failures", "page_range": [5]},
-        {"number": "5", "title": "POPULATION", "page_range": [3], "content_blocks": [para("Intro.", 3)]},
-        {"number": "5.1", "title": "Inclusion", "page_range": [3, 4], "content_blocks": [para("Participants must be 18 years or older.", 3), para("Refer to Appendix A.", 4)]},
-        {"number": "Appendix A", "title": "Ethics", "page_range": [6], "content_blocks": [para("Text.", 6)]},
-    ],
-    "pages": [{"page_num": 5, "content_blocks": [{"text": "Screen failure text."}]}],
-    "tables": [{"id": "table_p4_1", "caption": "Table 1 Visits", "page_range": [4, 5], "column_headers": ["Procedure", "Day 1"], "rows": [["Swab", "X"]], "footnotes": {"a": "Only once."}}],
-}
+DEMO = json.loads((Path(__file__).parent / "data" / "demo.json").read_text())
 TABLE = "Procedure | Day 1\n" + "-" * 40 + "\nSwab | X\n  a. Only once."
 
 
