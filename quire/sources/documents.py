@@ -59,13 +59,13 @@ def knowledge(spark: SparkSession, trees: dict[str, dict]) -> DataFrame:
 
 def read_trees(spark: SparkSession, folder: str) -> dict[str, dict]:
     """The knowledge files of a folder, each a small tree, by name."""
-    files = spark.read.option("wholetext", True).text(f"{folder}/*.json").select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("name"), "value")
+    files = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("name"), "value")
     return {r["name"]: json.loads(r["value"]) for r in files.collect()}
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     """(run, at, query, query_type, has_data, total_ms, total_s) of a run log: a header with a time starts a run."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"(?=QUERY DEBUG LOG)")).alias("run", "text"))
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"(?=QUERY DEBUG LOG)")).alias("run", "text"))
     get = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
     return whole.where(F.col("text").startswith("QUERY DEBUG LOG")).select(
         "run", F.try_to_timestamp(get(r"QUERY DEBUG LOG . ([0-9: -]+[0-9])")).alias("at"), get(r"Query: ([^\n]*)").alias("query"),
@@ -85,7 +85,7 @@ def run_statistics(runs: DataFrame, by: list[str]) -> DataFrame:
 
 def readable_sections(spark: SparkSession, path: str) -> DataFrame:
     """(path, nr, level, heading, body) of markdown files: a heading starts a section and lines belong to the one above."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"(?m)^(?=#{1,6} )")).alias("nr", "text"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"(?m)^(?=#{1,6} )")).alias("nr", "text"))
     head = F.regexp_extract("text", r"^(#{1,6}) ([^\n]*)", 2)
     return whole.select("path", "nr", F.length(F.regexp_extract("text", r"^(#{1,6}) ", 1)).alias("level"), head.alias("heading"), F.regexp_replace("text", r"^#{1,6} [^\n]*\n?", "").alias("body"))
 

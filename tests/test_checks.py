@@ -99,7 +99,7 @@ def test_verdict_truth_table(spark):
         assert r["v"] == want
 
 
-@pytest.mark.parametrize("section,context,want", [("5", "in 15.3", "W 5 not found"), ("5", "in 5, yes", "V"), ("5.1", "§5.1", "V"), ("A(1)", "x A(1)y", "W A(1) not found"), ("", "x", None)])
+@pytest.mark.parametrize("section,context,want", [("5", "in 15.3", "W 5 not found"), ("5", "in 5, yes", "V"), ("5.1", "§5.1", "V"), ("A(1)", "x A(1) y", "W A(1) not found"), ("", "x", None)])
 def test_section_check(spark, section, context, want):
     assert one(spark, validate.section_check(F.col("s"), F.col("c")), s=section, c=context) == want
 
