@@ -3,8 +3,9 @@
 Documents fall into cells of (source, language, topic). The token mass of the
 cells is raked, one margin after the other, until the shares of sources,
 languages and topics are those asked for; a cell's raked mass over its own mass,
-scaled so that no document is needed more than once, is the probability at which
-its documents are drawn.
+scaled to the share of all tokens that is to be kept, is the probability at which
+its documents are drawn. Cells that are asked for more than they have are kept
+whole, and the scale of the others makes up for them.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ MARGINS = ("source", "lang", "topic")
 #: Default targets: a value's share of all tokens to this power, scaled to sum to one.
 TEMPER = 0.9
 ROUNDS = 8
+#: Share of all tokens that the draw keeps in expectation, and rounds that settle the scale.
+RATE, SCALE_ROUNDS = 0.7, 8
 #: Cells up to this many (a few MB) go to every task; more are joined by shuffle.
 BROADCAST_CELLS = 50_000
 NULL = "\x01null"
@@ -88,18 +91,34 @@ def rake(cells: DataFrame, margins: Sequence[str] = MARGINS, targets: dict[str,
     return now.select(*margins, "mass", "weight")
 
 
+def calibrate(cells: DataFrame, rate: float = RATE) -> float:
+    """The scale at which least(mass, scale * weight) of all cells sums to `rate` of their mass; three sums a round come to the driver."""
+    whole = cells.agg(F.sum("mass").alias("mass"), F.sum("weight").alias("weight")).first()
+    if not whole["mass"] or not whole["weight"]:
+        return 0.0
+    goal = rate * float(whole["mass"])
+    scale = goal / whole["weight"]
+    for _ in range(SCALE_ROUNDS):
+        full = F.lit(scale) * F.col("weight") / F.col("mass") >= 1
+        row = cells.agg(F.sum(F.when(full, F.col("mass"))).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("free")).first()
+        if not row["free"]:
+            break
+        scale = (goal - float(row["full"] or 0)) / row["free"]
+    return scale
+
+
 def uniform(id_col: str) -> Column:
     """A number in [0, 1) that the id alone decides."""
     digits = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(NULL))), 1, 12)
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, DataFrame] | None = None, power: float = TEMPER, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, DataFrame] | None = None, power: float = TEMPER, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
     """docs, all columns and rows, plus _topic, _tokens, _probability and _kept (the draw).
 
     A document weighs its words and one end mark. The draw is decided by a hash of the id: the same documents come
-    at every run, and rows that share an id come or go together within a cell. Expected token shares of what is kept
-    are the raked ones exactly, since no probability is cut off at 1.
+    at every run, and rows that share an id come or go together within a cell. In expectation `rate` of all tokens is
+    kept, in the raked shares but for cells too small for theirs, which are kept whole: a rare cell does not thin the rest.
     - Null source, language or topic is a value of its own. Null and empty texts weigh one and are drawn like others.
     - An empty table stays empty.
     """
@@ -118,11 +137,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         placed(docs.select(*needed)).groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("mass"))
     )
     raked = rake(cells, targets=targets, power=power, rounds=rounds)
-    ratio = raked.withColumn("_ratio", F.col("weight") / F.col("mass"))
-    highest = ratio.agg(F.max("_ratio").alias("_highest"))
-    drawn = ratio.crossJoin(F.broadcast(highest)).select(  # one row
-        F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"),
-        F.when(F.col("_highest") > 0, F.round(F.col("_ratio") / F.col("_highest"), 9)).otherwise(0.0).alias("_probability"),
+    probability = F.least(F.lit(1.0), F.lit(calibrate(raked, rate)) * F.col("weight") / F.col("mass"))
+    drawn = raked.select(
+        F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.round(probability, 9).alias("_probability")
     )
     if cells.count() <= BROADCAST_CELLS:
         drawn = F.broadcast(drawn)
@@ -165,9 +182,14 @@ def mixing_ctes(docs: str) -> str:
                       FROM mx_{step} JOIN mx_t_{m} USING ({m}))"""
             )
             step += 1
-    parts.append(
-        f"""mx_p AS (SELECT source, lang, topic, round((weight / mass) / max(weight / mass) OVER (), 9) AS probability FROM mx_{step})"""
-    )
+    last = f"mx_{step}"
+    parts.append(f"ms_0 AS (SELECT {RATE} * sum(mass) / sum(weight) AS s FROM {last})")
+    for k in range(SCALE_ROUNDS):
+        parts.append(
+            f"""ms_{k + 1} AS MATERIALIZED (SELECT coalesce(({RATE} * sum(mass) - coalesce(sum(mass) FILTER (s * weight / mass >= 1), 0)) / sum(weight) FILTER (s * weight / mass < 1), max(s)) AS s
+                  FROM {last}, ms_{k})"""
+        )
+    parts.append(f"mx_p AS (SELECT source, lang, topic, round(least(1.0, s * weight / mass), 9) AS probability FROM {last}, ms_{SCALE_ROUNDS})")
     parts.append(
         """mx_drawn AS (SELECT doc_id, source, lang, topic, tokens, probability,
              CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), chr(1) || 'null')), 1, 12)) AS UBIGINT) / 281474976710656.0 < probability AS kept

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from quire.llm.mixing import mix, rake, shape, uniform
+from quire.llm.mixing import calibrate, mix, rake, shape, uniform
 
 SCHEMA = "doc_id long, text string, lang string, source string, mass long, topic string"
 
@@ -30,15 +30,23 @@ def test_draw_meets_shares_and_covers_edges(spark):
     rows = [(i, "word " * 9, "en" if i % 10 < 8 else "fr", "big" if i % 3 else "small", 0, "x") for i in range(6000)]
     rows += [(None, None, None, None, 0, "x"), (1, "word " * 9, "en", "big", 0, "x")]
     frame = spark.createDataFrame(rows, SCHEMA)
-    got = mix(frame, power=0.0)
+    got = mix(frame, power=0.0, rate=0.3)
     assert got.columns[: len(frame.columns)] == frame.columns and got.count() == len(rows)
     kept = got.where("_kept and lang is not null").toPandas()
     probabilities = got.toPandas()._probability
-    assert probabilities.between(0, 1).all() and probabilities.max() == 1
+    assert probabilities.between(0, 1).all() and got.where('doc_id is null').first()['_kept']  # asked for more than it has
+    assert abs(got.where('_kept').count() / len(rows) - 0.3) < 0.03
     assert abs((kept.lang == "fr").mean() - 0.5) < 0.06 and abs((kept.source == "small").mean() - 0.5) < 0.06
     assert mix(frame.limit(0)).count() == 0
 
 
+def test_scale_keeps_the_rate(spark):
+    cells = spark.createDataFrame([(100, 0.01), (1, 0.5), (50, 0.2), (1000, 0.29)], "mass long, weight double")
+    scale = calibrate(cells, 0.5)
+    assert abs(sum(min(m, scale * w) for m, w in [(100, 0.01), (1, 0.5), (50, 0.2), (1000, 0.29)]) - 0.5 * 1151) < 1e-6
+    assert calibrate(cells.limit(0)) == 0.0
+
+
 def test_given_topics_and_uniform(spark):
     frame = spark.createDataFrame([(1, "a", "en", "s", 0, "t"), (2, "b", "en", "s", 0, None)], SCHEMA)
     assert {r["_topic"] for r in mix(frame, topic_col="topic").collect()} == {"t", "\x01null"}
