@@ -4,17 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What counts as a word: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-WORD_RE = re.compile(WORD)
-WORD_BYTES_RE = re.compile(rb"[^\x20\x09-\x0D]+")
+from quire.durable import settled as durable  # noqa: F401
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -54,27 +50,11 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the cluster's checkpoint folder, its lineage cut.
-
-    The folder is spark.checkpoint.dir. Only a session without that setting, such as a test's, gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def row_key(*columns: str) -> Column:
     """A non-null key for the values of these columns, nulls included."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns])
 
 
-def hash128(value: Column) -> Column:
-    """Two independent 64-bit hashes: equal structs mean equal values at any corpus size."""
-    return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit("second"), value).alias("b"))
-
-
 def steps(texts: pa.ChunkedArray | pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
     """The texts in runs of about `most` characters, each with the place of its first; null is empty."""
     run, size, first = [], 0, 0
