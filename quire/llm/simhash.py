@@ -13,7 +13,8 @@ Texts that share four fifths of their shingles differ in about ten of 64 majorit
 bits, more than eight bytes can guarantee matches for. Where such near copies are
 wanted too (keep_one), a second fingerprint goes through the same kind of index: 128
 positional bytes, each told by the least of the shingles' hashes in one of 128
-orders, so that two texts match in a position as often as they share shingles.
+orders, so that two texts match in a position as often as they share shingles. Its
+matches only propose pairs: a link is one whose shingle sets, read again, are similar.
 """
 
 from __future__ import annotations
@@ -39,9 +40,12 @@ BLOCK = 512
 WIDE_KEYS_FROM = 1 << 27
 #: Hashes whose bits are counted at once.
 STEP_HASHES = 1 << 16
-#: Bytes of the second fingerprint, positions of each of its posting keys, keys, and the least matches of near copies:
-#: three quarters of the positions, which texts of similarity 0.8 reach in 94 of 100 cases.
-POSITIONS, KEY_POSITIONS, KEYS, LEAST_MATCHES = 128, 5, 16, 96
+#: Bytes of the second fingerprint, positions of each of its posting keys, the first position of each key, and the least
+#: matches of a pair whose shingles are compared: texts of similarity 0.8 reach them in 999 of 1,000 cases.
+POSITIONS, KEY_POSITIONS, LEAST_MATCHES = 128, 5, 88
+KEY_STARTS = [*range(0, POSITIONS - KEY_POSITIONS, KEY_POSITIONS), POSITIONS - KEY_POSITIONS]
+#: Near copies share at least this part of their distinct shingles.
+LEAST_SIMILARITY = 0.8
 
 
 def shingles(words: list[bytes], size: int) -> Iterator[bytes]:
@@ -93,6 +97,24 @@ def positional_bytes(raw: np.ndarray) -> bytes:
     return (least & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
 
+def shingle_set(raw: np.ndarray) -> np.ndarray:
+    """The distinct hashes in order."""
+    return np.unique(raw.view(">u8").reshape(-1).astype(np.uint64))
+
+
+def set_name(members: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(members.tobytes(), SEED))
+
+
+def similar(a: bytes, b: bytes, least: float = LEAST_SIMILARITY) -> bool:
+    """Whether shingle sets share `least` of their union; two empty ones are equal."""
+    n, m = len(a) // 8, len(b) // 8
+    if min(n, m) < least * max(n, m):
+        return False
+    both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+    return both >= least * (n + m - both)
+
+
 def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -135,9 +157,12 @@ def _least_labels(a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> np.ndarra
     return labels
 
 
-def links_within(group: np.ndarray, close) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places that span what close(a, b), of arrays of places, connects within runs of equal group numbers."""
-    labels = np.arange(len(group))
+def links_within(group: np.ndarray, close, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that span what close(a, b), of arrays of places, connects within runs of equal group numbers.
+
+    labels: of each place the least one that it is linked to beforehand.
+    """
+    labels = np.arange(len(group)) if labels is None else labels
     at, step = np.arange(len(group)), 0
     while len(at):
         step += 1
@@ -196,15 +221,22 @@ def _compared(make_close):
 
 
 def _listed(keys: DataFrame, values: DataFrame, block: int) -> DataFrame:
-    """Rows (c, key, name) of the lists with two names and more, with the values (name, value), dealt in block pairs."""
-    counts = durable(keys.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    """Rows (c, key, name) of the lists with two names and more, with the values (name, value), dealt in block pairs.
+
+    Where keys have a root, only lists of two roots and more."""
+    several = F.min("root") < F.max("root") if "root" in keys.columns else F.count("*") > 1
+    counts = durable(keys.groupBy("c", "key").agg(F.count("*").alias("n"), several.alias("several")).where("several").drop("several"))
     listed = keys.join(counts, ["c", "key"]).select("c", "key", "name", F.expr(f"cast(ceil(n / {block}) as int)").alias("blocks"))
     own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     paired = listed.select("c", "key", "name", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "c", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "name"
     )
     with_values = paired.join(values, "name") if values is not None else paired.withColumn("value", F.col("name"))
-    return with_values.select("c", "key", "i", "j", "name", "value").repartition("c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j")
+    return _by_list(with_values.select("c", "key", "i", "j", "name", "value"))
+
+
+def _by_list(rows: DataFrame) -> DataFrame:
+    return rows.repartition("c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j", "name")
 
 
 def near_links(values: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
@@ -217,12 +249,109 @@ def near_links(values: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK)
     return _listed(keys.withColumnRenamed("fp", "name"), None, block).mapInArrow(_compared(close), "a long, b long")
 
 
+def _keys_of(values: DataFrame) -> DataFrame:
+    part = lambda at: F.conv(F.hex(F.substring("value", at + 1, KEY_POSITIONS)), 16, 10).cast("long")
+    return values.select("name", F.posexplode(F.array(*[part(at) for at in KEY_STARTS])).alias("c", "key"))
+
+
+def _rows_of_bytes(found: list) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, found)), np.uint8).reshape(-1, POSITIONS)
+
+
 def positional_links(values: DataFrame, least: int = LEAST_MATCHES, block: int = BLOCK) -> DataFrame:
-    """(a, b) between the names of second fingerprints (name, value; distinct) that match in `least` positions."""
-    part = lambda k: F.conv(F.hex(F.substring("value", k * KEY_POSITIONS + 1, KEY_POSITIONS)), 16, 10).cast("long")
-    keys = values.select("name", F.posexplode(F.array(*[part(k) for k in range(KEYS)])).alias("c", "key"))
-    close = lambda found: bytes_close(np.frombuffer(b"".join(map(bytes, found)), np.uint8).reshape(-1, POSITIONS), least)
-    return _listed(keys, values, block).mapInArrow(_compared(close), "a long, b long")
+    """(a, b) between the names of second fingerprints (name, value; distinct) that span what `least` matches connect."""
+    return _listed(_keys_of(values), values, block).mapInArrow(_compared(lambda found: bytes_close(_rows_of_bytes(found), least)), "a long, b long")
+
+
+def _first_labels(group: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Of each place the least one of its group and root."""
+    _, first, back = np.unique(np.stack([group, roots], axis=1), axis=0, return_index=True, return_inverse=True)
+    return first[back.reshape(-1)]
+
+
+def _met_before(values: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether pairs of list c agree under an earlier key."""
+    same = values[a] == values[b]
+    under = np.stack([same[:, at : at + KEY_POSITIONS].all(axis=1) for at in KEY_STARTS], axis=1)
+    return under.argmax(axis=1) < c
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of (c, key, i, j, ...), a number of whole lists at a time."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        new = _new_lists(rows)
+        cut = int(new[-1]) if len(new) else 0
+        rest = rows.slice(cut)
+        if cut:
+            yield rows.slice(0, cut)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _new_lists(rows: pa.Table) -> np.ndarray:
+    """The places, after the first, where a list begins."""
+    lists = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
+    return np.flatnonzero((lists[1:] != lists[:-1]).any(axis=1)) + 1
+
+
+def _group_numbers(rows: pa.Table) -> np.ndarray:
+    starts = np.zeros(len(rows), np.int64)
+    starts[_new_lists(rows)] = 1
+    return np.cumsum(starts)
+
+
+def _left_open(least: int):
+    """The rows (c, key, i, j, name, value, root) in a pair of `least` matches and two roots that no earlier key's list holds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_lists(batches):
+            group, c, root = _group_numbers(rows), rows.column("c").to_numpy(), rows.column("root").to_numpy()
+            values = _rows_of_bytes(rows.column("value").to_pylist())
+            close, marked = bytes_close(values, least), np.zeros(len(rows), bool)
+            at, step = np.arange(len(rows)), 0
+            while len(at):
+                step += 1
+                at = at[at + step < len(rows)]
+                at = at[group[at] == group[at + step]]
+                new = at[root[at] != root[at + step]]
+                new = new[close(new, new + step)]
+                new = new[~_met_before(values, new, new + step, c[new])]
+                marked[new] = marked[new + step] = True
+            yield from rows.filter(pa.array(marked)).to_batches()
+
+    return run
+
+
+def _settled(least: int, least_similarity: float):
+    """Over rows (c, key, i, j, name, value, root, members): links that span what is similar, besides what has one root."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_lists(batches):
+            group, name, members = _group_numbers(rows), rows.column("name").to_numpy(), rows.column("members")
+            near = bytes_close(_rows_of_bytes(rows.column("value").to_pylist()), least)
+
+            def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                found = near(a, b)  # noqa: B023
+                found[found] = [similar(members[x].as_py(), members[y].as_py(), least_similarity) for x, y in zip(a[found].tolist(), b[found].tolist(), strict=True)]  # noqa: B023
+                return found
+
+            a, b = links_within(group, close, _first_labels(group, rows.column("root").to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(name[a], pa.int64()), pa.array(name[b], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, members: DataFrame, least_similarity: float) -> DataFrame:
+    """The pairs (a, b) of names whose shingle sets (name, members) are similar."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similar(x.as_py(), y.as_py(), least_similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    of = lambda end: members.select(F.col("name").alias(end), F.col("members").alias(f"m{end}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ma", "mb")
+    return small_batches(both).mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -247,38 +376,73 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     )
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = MAX_BITS, least: int = LEAST_MATCHES) -> DataFrame:
-    """(id, component_id) of every row, linked by SimHash as in groups() or by `least` matches of the second fingerprint.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = MAX_BITS, least: int = LEAST_MATCHES, least_similarity: float = LEAST_SIMILARITY) -> DataFrame:
+    """(id, component_id) of every row: texts are linked if their sets of shingles share least_similarity of their union.
 
-    The second fingerprint finds texts of similarity 0.8 and more. Nulls, empty texts and repeats are as in groups().
+    SimHash (max_bits) and `least` matches of the second fingerprint propose the pairs. Of each text one pair is
+    verified first; every pair of `least` matches that this leaves in two components is then verified as well, inside
+    its posting list, so that no link is lost and no list of all pairs is written. Texts of one shingle set are one
+    node. Nulls, empty texts and repeats are as in groups().
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [hashes(t.as_py(), shingle_words) for t in batch.column(1)]
             fp = [signed(majority(r)) if len(r) else 0 for r in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array([positional_bytes(r) for r in raw], pa.binary())], ["_id", "fp", "value"])
+            names = [set_name(shingle_set(r)) for r in raw]
+            columns = [pa.array(fp, pa.int64()), pa.array([positional_bytes(r) for r in raw], pa.binary()), pa.array(names, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["_id", "text_hash", "fp", "value", "name"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(hashes(t.as_py(), shingle_words)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["name", "members"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    prints = durable(small_batches(docs).select(id_col, text_col).mapInArrow(run, f"_id {kind}, fp long, value binary").withColumn("name", F.xxhash64("value", "fp")))
-    nodes = durable(prints.groupBy("name").agg(F.min("_id").alias("least_id"), F.first("fp").alias("fp"), F.first("value").alias("value")))
+    text_hash = F.xxhash64(F.col(text_col)).alias("text_hash")
+    prints = durable(small_batches(docs).select(id_col, text_col, text_hash).mapInArrow(run, f"_id {kind}, text_hash long, fp long, value binary, name long"))
+    nodes = durable(prints.groupBy("name").agg(F.min("_id").alias("least_id"), F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.min("value").alias("value")))
+    values = nodes.select("name", "value")
+
+    def members_of(names: DataFrame) -> DataFrame:
+        """The shingle sets of the names, from one text of each."""
+        wanted = durable(nodes.join(names, "name", "left_semi").select("text_hash"))
+        # copies of a text meet once a partition, so that the join gets no hot key
+        texts = docs.select(text_hash, F.col(text_col).alias("_text")).dropDuplicates(["text_hash"]).join(wanted, "text_hash", "left_semi")
+        return durable(small_batches(texts).select("_text").mapInArrow(sets, "name long, members binary"))
+
     # SimHash links are between fingerprints, whose texts' least name stands for them.
     stands = durable(nodes.groupBy("fp").agg(F.min("name").alias("stand")))
     same = nodes.join(stands, "fp").where("name <> stand").select(F.col("name").alias("a"), F.col("stand").alias("b"))
     side = lambda end: stands.select(F.col("fp").alias(end), F.col("stand").alias(f"s{end}"))
     bits = near_links(stands.select("fp"), max_bits).join(side("a"), "a").join(side("b"), "b").select(F.col("sa").alias("a"), F.col("sb").alias("b"))
-    alike = positional_links(nodes.groupBy("value").agg(F.min("name").alias("name")).select("name", "value"), least)
-    # equal second fingerprints under different first ones
-    twins = nodes.join(durable(nodes.groupBy("value").agg(F.min("name").alias("stand"), F.count("*").alias("n")).where("n > 1")).select("value", "stand"), "value").where("name <> stand").select(F.col("name").alias("a"), F.col("stand").alias("b"))
-    rooted = durable(connected_components(same.unionByName(bits).unionByName(alike).unionByName(twins)))
+    alike = positional_links(values, least)
+    from_both = alike.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"), F.lit(0).alias("by")).unionByName(
+        same.unionByName(bits).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"), F.lit(1).alias("by"))
+    )
+    # one pair of each name and way
+    proposed = durable(from_both.groupBy("b", "by").agg(F.min("a").alias("a")).select("a", "b").distinct())
+    ends = lambda pairs: pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    sure = durable(_verified(proposed, members_of(ends(proposed)), least_similarity))
+
+    rooted = durable(connected_components(sure))
+    known = durable(values.join(rooted.withColumnRenamed("node", "name"), "name", "left").select("name", F.struct("value", F.coalesce("root", "name").alias("root")).alias("value")))
+    roots = known.select("name", F.col("value.root").alias("root"))
+    listed = _listed(_keys_of(values).join(roots, "name"), known, BLOCK).select("c", "key", "i", "j", "name", F.col("value.value").alias("value"), F.col("value.root").alias("root"))
+    fields = "c int, key long, i int, j int, name long, value binary, root long"
+    left_open = durable(listed.mapInArrow(_left_open(least), fields))
+    with_members = left_open.join(members_of(left_open.select("name").distinct()), "name").select(*left_open.columns, "members")
+    more = small_batches(_by_list(with_members)).mapInArrow(_settled(least, least_similarity), "a long, b long")
+
+    rooted = durable(connected_components(sure.unionByName(more)))
     least_of = durable(rooted.join(nodes.select("name", "least_id"), F.col("node") == F.col("name")).groupBy("root").agg(F.min("least_id").alias("component_id")))
     linked = rooted.join(least_of, "root").select(F.col("node").alias("name"), "component_id")
     of = durable(nodes.select("name", "least_id").join(linked, "name", "left").select("name", F.coalesce("component_id", "least_id").alias("component_id")))
     return prints.select("_id", "name").join(of, "name").select(F.col("_id").alias(id_col), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = MAX_BITS, least: int = LEAST_MATCHES) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = MAX_BITS, least: int = LEAST_MATCHES, least_similarity: float = LEAST_SIMILARITY) -> DataFrame:
     """The rows of docs, all columns, whose id is the smallest of their group (near_groups); rows without an id stay."""
-    found = near_groups(docs, id_col, text_col, shingle_words, max_bits, least)
+    found = near_groups(docs, id_col, text_col, shingle_words, max_bits, least, least_similarity)
     gone = durable(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
 

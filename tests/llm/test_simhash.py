@@ -123,6 +123,33 @@ def test_near_copies_of_four_fifths(spark):
     assert all(got[i + 1] == i + 1 for i in far)
 
 
+def test_links_are_exactly_the_pairs_of_four_fifths(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(5000)]
+    shingle_set = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows, near = [], {}
+    for i in range(0, 400, 2):
+        text = [rng.choice(words) for _ in range(300)]
+        other = list(text)
+        for place in rng.sample(range(300), rng.randrange(5, 16)):
+            other[place] = f"new{i}x{place}"
+        a, b = shingle_set(text), shingle_set(other)
+        similarity = len(a & b) / len(a | b)
+        if 0.6 <= similarity <= 0.87:
+            near[i] = similarity >= 0.8
+            rows += [(i, " ".join(text)), (i + 1, " ".join(other))]
+    # a is near neither b nor c in shingles, b and c are near: the pair that fails first hides no other
+    text = [rng.choice(words) for _ in range(300)]
+    edits = rng.sample(range(300), 9)
+    b = [f"b{k}" if k in edits else w for k, w in enumerate(text)]
+    c = [*b[:-1], "last"]
+    rows += [(1000, " ".join(text)), (1001, " ".join(b)), (1002, " ".join(c))]
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(near.values()) > 20 and sum(not x for x in near.values()) > 80
+    assert {i: got[i + 1] == i for i in near} == near
+    assert (got[1001], got[1002]) == (1001, 1001)
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
