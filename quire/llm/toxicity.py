@@ -33,8 +33,6 @@ STEM_LETTERS = 5
 DISCOUNT = 0.75
 #: Contexts that the backoff of an expression weighs.
 BACKOFF_WEIGHT = 6.0
-#: Expressions closer to their backoff than this are left to it.
-LEAST_SHIFT = 0.35
 #: Ratios above this speak for toxicity by themselves.
 TELLING = 1.0
 MARKS = b".,!?;:|#%&$*\"()'`~_-<>[]{}/\\"
@@ -86,8 +84,10 @@ class Model:
     """Log ratios of the two models by expression hash, and the logistic curve over a text's features."""
 
     def __init__(self, keys: np.ndarray, ratios: np.ndarray, curve: np.ndarray | None = None):
-        order = np.argsort(keys)
-        self.keys, self.ratios = keys[order], ratios[order].astype(np.float32)
+        if len(keys) and (keys[1:] < keys[:-1]).any():
+            order = np.argsort(keys)
+            keys, ratios = keys[order], ratios[order]
+        self.keys, self.ratios = keys, ratios.astype(np.float32, copy=False)
         self.curve = curve
         self.memory: dict[bytes, float] = {}
 
@@ -182,12 +182,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         log_odds = lambda p: F.log(p / (1 - p)) - F.lit(float(np.log(share / (1 - share))))
         stems = counts.groupBy("stem").agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1")).withColumn("p", _smoothed(F.col("s0"), F.col("s1"), F.lit(share)))
         words = counts.join(stems.select("stem", "p"), "stem").select("word", "p", _smoothed(F.col("n0"), F.col("n1"), F.col("p")).alias("q"))
-        shifted = F.abs(log_odds(F.col("q")) - log_odds(F.col("p"))) >= LEAST_SHIFT
-        entries = words.where(shifted).select(F.col("word").alias("key"), log_odds(F.col("q")).cast("float").alias("ratio")).union(
-            stems.where(F.abs(log_odds(F.col("p"))) >= LEAST_SHIFT).select("stem", log_odds(F.col("p")).cast("float"))
-        )
+        entries = words.select(F.col("word").alias("key"), log_odds(F.col("q")).cast("float").alias("ratio")).union(stems.select("stem", log_odds(F.col("p")).cast("float")))
         found = entries.toArrow()
         model = Model(found.column("key").to_numpy(), found.column("ratio").to_numpy())
+        del found
+        release_memory()
     sample = _scored(text.join(F.broadcast(chosen(True, curve_rows)), "_id"), model, ["_toxic"], {"_toxic": "int"}).toPandas()
     features = sample[[f"f{k}" for k in range(N_FEATURES)]].to_numpy(float)
     model.curve = fit_curve(features, sample["_toxic"].to_numpy(float))

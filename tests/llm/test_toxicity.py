@@ -56,6 +56,18 @@ def test_no_labels_one_class_and_empty_tables(spark):
     assert score(none, fit(none, spark.createDataFrame(labels, LABELS))).count() == 0
 
 
+def test_every_word_and_stem_is_in_the_model(spark):
+    from quire.llm.toxicity import _hash, stem
+
+    docs, labels = corpus(600)
+    docs += [(700 + k, f"w1 w2 oncesaid{k}", "x", 7) for k in range(20)]  # close to their backoff
+    labels += [(700 + k, 0, "x") for k in range(20)]
+    model = fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
+    known, ratio = model._look_up([_hash(b"w7"), _hash(b"\0" + stem(b"oncesaid")), *[_hash(b"oncesaid%d" % k) for k in range(20)]])
+    assert known[0] and known[1] and known[2:].sum() >= 8
+    assert (ratio[known] != 0).all()
+
+
 def test_fold(spark):
     got = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", fold("doc_id").alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in got)
