@@ -61,7 +61,7 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.array_sort(F.collect_list(F.struct("nr", "who", "said"))).alias("_turns"), F.array_sort(F.collect_set("who")).alias("_who")
     )
     # A conversation of part 0 alone has all its speakers at hand; only of the others they are gathered over the parts.
-    long = rows.where("_part > 0").select("_conv").distinct()
+    long = rows.where("_part <> 0").select("_conv").distinct()
     joint = F.struct(F.col("_conv").alias("c"))  # a struct is never null, so that null ids meet
     speakers = (
         rows.select("_conv", "who").join(long.select(joint.alias("_k")), joint == F.col("_k"), "left_semi")

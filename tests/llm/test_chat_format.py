@@ -34,5 +34,11 @@ def test_long_dialogues_come_in_parts(spark):
     assert whole.count("<|im_start|>") == 1301 and whole.count("<|im_start|>assistant\nonce") == 1
 
 
+def test_negative_turns_are_a_part_of_the_conversation(spark):
+    got = run(spark, [(1, -1, "ann", "before"), (1, 0, "bob", "after")])
+    assert set(got) == {(1, who, part) for who in ("ann", "bob") for part in (-1, 0)}
+    assert got[1, "bob", -1]["mask"] == [] and got[1, "bob", -1]["n_turns"] == 1
+
+
 def test_empty_table(spark):
     assert run(spark, []) == {}
