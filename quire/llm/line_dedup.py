@@ -12,9 +12,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import row_key, table
+from quire.llm.common import durable, row_key, table
 
 WINDOW_LINES = 3
+#: Bits of the bitmap (2 MB) that tells most documents without a cut; where it fills up, more texts are shuffled.
+MARK_BITS = 1 << 24
 
 
 def _windows(docs: DataFrame, keys: list[str], text_col: str, size: int) -> DataFrame:
@@ -40,10 +42,18 @@ def _windows(docs: DataFrame, keys: list[str], text_col: str, size: int) -> Data
     )
 
 
+def _marks(rows: DataFrame) -> DataFrame:
+    """(word, bits): a bitmap of MARK_BITS bits in which each row is marked; of bounded size, whatever the rows."""
+    bit = F.pmod(F.col("row"), F.lit(MARK_BITS))
+    marked = rows.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(row, 64) as int))").alias("bit"))
+    return durable(marked.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_LINES) -> DataFrame:
     """docs with repeated line windows cut from text_col, plus _n_lines and _n_removed (both int).
 
-    Lines end at \\n and are compared exactly. All columns of docs stay, also those with clashing names.
+    Lines end at \\n and are compared exactly. All columns of docs stay, whatever their names, but for columns
+    _n_lines and _n_removed of its own, which give way.
     - A null text stays null: 0 lines, 0 removed. An empty text is one line.
     - A text of fewer lines than a window stays as it is. Windows without a word are no windows.
     - First means smallest (id, line number), a null id before all. Rows of one id and one text are one
@@ -51,34 +61,38 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     - Of windows that overlap within a document, as in a line said four times, the first stays.
     - A document whose lines are all covered keeps its row, with an empty text.
     """
-    keyed = docs.withColumn("_row", row_key(id_col, text_col))
-    windows = _windows(keyed.withColumn("_id", F.col(id_col)), ["_id", "_row"], text_col, window)
-    order = F.struct(F.col("_id"), F.col("pos"))
-    repeated = (
+    kept = [c for c in docs.columns if c not in ("_n_lines", "_n_removed")]
+    # the columns of docs in one of their own, so that no name of theirs meets one of these
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), row_key(id_col, text_col).alias("row")
+    )
+    windows = _windows(keyed, ["id", "row"], "text", window)
+    order = F.struct(F.col("id"), F.col("pos"))
+    # Written, so that the join below has plain exchanges on both sides and can be split where a window is hot.
+    repeated = durable(
         windows.groupBy("a", "b")
         .agg(F.min(order).alias("first"), F.max(order).alias("last"))
         .where(~F.col("first").eqNullSafe(F.col("last")))
-        .select("a", "b", F.col("first._id").alias("first_id"), F.col("first.pos").alias("first_pos"))
+        .select("a", "b", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"))
     )
     later = windows.join(repeated, ["a", "b"]).where(
-        ~(F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos")))
+        ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos")))
     )
-    cut = (
-        later.repartition("_row")  # by document from here on, so that the join above can be split where a window is hot
-        .groupBy("_row")
-        .agg(F.collect_set("pos").alias("_starts"))
-    )
-    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + (window - 1)))))
+    cut = durable(later.repartition("row").groupBy("row").agg(F.collect_set("pos").alias("starts")))
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (window - 1)))))
+
+    # Only texts that are cut, and few others that share their mark, are shuffled to meet their cuts.
+    marked = keyed.withColumn("word", F.shiftright(F.pmod(F.col("row"), F.lit(MARK_BITS)), 6)).join(F.broadcast(_marks(cut)), "word", "left")
+    is_marked = F.coalesce(F.expr("shiftright(bits, cast(pmod(row, 64) as int)) & 1L"), F.lit(0)) == 1
+    joined = marked.where(is_marked).join(cut.select("row", covered.alias("cut")), "row", "left")
     # Two uses keep the optimiser from splitting the text anew for each line.
-    joined = keyed.join(cut.select("_row", covered.alias("_cut")), "_row", "left").withColumn("_all", F.split(F.col(text_col), "\n", -1))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_cut")), lambda i: F.get("_all", i))
-    return joined.select(
-        *[
-            F.when(F.col("_cut").isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(f"`{c}`")
-            for c in docs.columns
-        ],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_all")).alias("_n_lines"),
-        F.coalesce(F.size("_cut"), F.lit(0)).alias("_n_removed"),
+    both = joined.select("doc", "text", "cut").union(marked.where(~is_marked).select("doc", "text", F.lit(None).cast("array<int>"))).withColumn("all", F.split("text", "\n", -1))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("cut")), lambda i: F.get("all", i))
+    cut_text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return both.select(
+        *[(cut_text if c == text_col else F.col("doc").getField(c)).alias(c) for c in kept],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("all")).alias("_n_lines"),
+        F.coalesce(F.size("cut"), F.lit(0)).alias("_n_removed"),
     )
 
 

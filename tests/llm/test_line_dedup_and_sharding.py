@@ -45,6 +45,31 @@ def test_nulls_repeats_ties_and_clashing_columns(spark):
     assert got[4, 5][1:] == (4, 3)
 
 
+def test_columns_of_any_name_stay(spark):
+    names = ["_row", "_all", "_cut", "_id", "doc", "row", "id", "word", "bits", "cut", "starts", "all", "a.b", "pos"]
+    rows = [(1, "a\nb\nc", *names), (2, "a\nb\nc\nd", *names), (3, None, *names)]
+    frame = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = {r["doc_id"]: r for r in line_dedup(frame).collect()}
+    assert all([r[n] for n in names] == names for r in got.values())
+    assert got[2]["text"] == "d" and got[2]["_n_removed"] == 3 and got[3]["text"] is None
+    again = {r["doc_id"]: r["_n_removed"] for r in line_dedup(line_dedup(frame)).collect()}
+    assert again == {1: 0, 2: 0, 3: 0}
+
+
+def test_other_names_of_id_and_text(spark):
+    frame = spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc")], ["id", "doc"])
+    assert {tuple(r) for r in line_dedup(frame, "id", "doc").collect()} == {(1, "a\nb\nc", 3, 0), (2, "", 3, 3)}
+
+
+def test_hot_windows_meet_over_plain_exchanges(spark):
+    """The exchange below the join of windows is fed by no aggregate, so that adaptive execution can split it."""
+    frame = spark.createDataFrame([(i, "a\nb\nc") for i in range(9)], "doc_id long, text string")
+    out = line_dedup(frame)
+    assert out.where("_n_removed = 3").count() == 8
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan  # cuts and repeated windows were written before
+
+
 def test_empty_table(spark):
     assert dedup(spark, []) == {}
     assert byte_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
