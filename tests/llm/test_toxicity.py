@@ -1,9 +1,14 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 
-from quire.llm.toxicity import Model, fit, fit_curve, fold, keep_ordinary, score
+from quire.llm.toxicity import (
+    BROADCAST_ENTRIES, DISCOUNT, STEM_BACKOFF, WORD_BACKOFF, Model, expression, features_of, fit, fit_curve, fold, keep_ordinary, likelihood_table, score, stem, stem_key, word_key, words_of,
+)
 
 DOCS, LABELS = "doc_id long, text string, score string, predicted int", "doc_id long, toxic int, text string"
 
@@ -56,16 +61,84 @@ def test_no_labels_one_class_and_empty_tables(spark):
     assert score(none, fit(none, spark.createDataFrame(labels, LABELS))).count() == 0
 
 
-def test_every_word_and_stem_is_in_the_model(spark):
-    from quire.llm.toxicity import _hash, stem
-
+def brute_models(texts):
+    """log P(expression | class) of both classes, from (text, toxic) of all counted documents, by plain dictionaries."""
+    n = [Counter(), Counter()]
+    for text, toxic in texts:
+        n[toxic].update({expression(w) for w in words_of(text)})
+    every = set(n[0]) | set(n[1])
+    of_stem = [Counter(stem(w) for w in n[c]) for c in (0, 1)]  # continuation counts: different expressions
+    both = Counter(map(stem, every))
+
+    def p(c, word):
+        s = stem(word)
+        shared = (max(both[s] - DISCOUNT, 0) + DISCOUNT * len(both) / (len(both) + 1)) / len(every)
+        backed = (max(of_stem[c][s] - DISCOUNT, 0) + (DISCOUNT * len(of_stem[c]) + STEM_BACKOFF * len(both)) * shared) / (len(n[c]) + STEM_BACKOFF * len(both))
+        given = DISCOUNT * len(n[c]) + WORD_BACKOFF * len(every)
+        return (max(n[c][word] - DISCOUNT, 0) + given * backed / (both[s] + 1)) / (sum(n[c].values()) + WORD_BACKOFF * len(every))
+
+    return p, every, set(both)
+
+
+def counted(docs, labels, in_curve):
+    text = {i: t for i, t, *_ in docs}
+    return [(text[i], t) for i, t, *_ in labels if zlib.crc32(str(i).encode()) % 5 and i not in in_curve]
+
+
+@pytest.mark.parametrize("most", [BROADCAST_ENTRIES, 0])
+def test_likelihoods_against_brute_force(spark, most):
+    docs, labels = corpus(300)
+    frame = spark.createDataFrame([*docs, (9003, "Grubby w1 zzzzz", "x", 0), (9004, None, "x", 0)], DOCS)
+    fitted = fit(frame, spark.createDataFrame(labels, LABELS), curve_rows=0, broadcast_entries=most)
+    assert (fitted.model is None) == (most == 0)
+    p, every, stems = brute_models(counted(docs, labels, set()))
+    for r in score(frame, fitted).join(frame.select("doc_id", "text"), "doc_id").collect():
+        words = [expression(w) for w in words_of(r["text"])]
+        for c, got in ((0, r["ordinary"]), (1, r["toxic"])):
+            assert got == pytest.approx(sum(math.log(p(c, w)) for w in words) / len(words) if words else 0, rel=1e-5)
+    for c in (0, 1):  # with an unknown expression of each stem, and of none, they sum to one
+        table = {r["key"]: math.exp(r[f"log{c}"]) for r in fitted.entries.collect()}
+        assert len(table) == len(every) + len(stems)
+        assert sum(table.values()) + math.exp(fitted.rest[c]) == pytest.approx(1, abs=1e-5)
+
+
+def test_joined_entries_score_like_broadcast_ones(spark):
+    docs, labels = corpus(500)
+    frame, marked = spark.createDataFrame([*docs, *docs[:3], (9001, None, "x", 0)], DOCS), spark.createDataFrame(labels, LABELS)
+    one, two = fit(frame, marked), fit(frame, marked, broadcast_entries=0, broadcast_labels=0)
+    a, b = (sorted((r["doc_id"], round(r["score"], 9)) for r in score(frame, m).collect()) for m in (one, two))
+    assert a == b and two.model is None
+    assert sorted(keep_ordinary(frame, one).collect()) == sorted(keep_ordinary(frame, two).collect())
+
+
+def test_rare_expressions_tell_no_more_than_their_stem(spark):
+    rows = [(word_key(b"poison"), stem_key(b"poison"), 0, 30), (word_key(b"poisoned"), stem_key(b"poison"), 0, 9), (word_key(b"poisons"), stem_key(b"poison"), 0, 9)]
+    rows += [(word_key(b"plain%d" % k), stem_key(b"p%dlain" % k), 20, 0) for k in range(50)] + [(word_key(b"seldom"), stem_key(b"seldom"), 0, 1)]
+    entries, _ = likelihood_table(spark.createDataFrame(rows, "word long, stem long, n0 long, n1 long"))
+    ratio = {r["key"]: r["log1"] - r["log0"] for r in entries.collect()}
+    assert ratio[word_key(b"poison")] > ratio[word_key(b"poisons")] > ratio[stem_key(b"poison")] > 0  # an unknown one of its stem
+    assert ratio[word_key(b"poison")] > ratio[word_key(b"seldom")] + 1
+
+
+def test_all_labelled_rows_are_counted_but_the_curves(spark):
     docs, labels = corpus(600)
-    docs += [(700 + k, f"w1 w2 oncesaid{k}", "x", 7) for k in range(20)]  # close to their backoff
-    labels += [(700 + k, 0, "x") for k in range(20)]
-    model = fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
-    known, ratio = model._look_up([_hash(b"w7"), _hash(b"\0" + stem(b"oncesaid")), *[_hash(b"oncesaid%d" % k) for k in range(20)]])
-    assert known[0] and known[1] and known[2:].sum() >= 8
-    assert (ratio[known] != 0).all()
+    docs += [(700 + k, f"w1 w2 oncesaid{k}", "x", 7) for k in range(40)]
+    labels += [(700 + k, 0, "x") for k in range(40)]
+    frame, marked = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    known = lambda m: {r["key"] for r in m.entries.collect()}
+    asked = [word_key(b"oncesaid%d" % k) for k in range(40) if zlib.crc32(str(700 + k).encode()) % 5]
+    assert set(asked) <= known(fit(frame, marked, curve_rows=0))
+    assert 0 < sum(k in known(fit(frame, marked)) for k in asked) < len(asked)
+
+
+def test_columns_of_any_name_stay_and_long_texts_are_scored(spark):
+    docs, labels = corpus(300)
+    names = ["text", "doc", "of", "key", "hits", "log0", "_text", "a.b"]
+    frame = spark.createDataFrame([(i, t, *names[1:]) for i, t, *_ in docs] + [(9000, "w1 w2 " * 200_000, *names[1:])], ["doc_id", *names])
+    for most in (BROADCAST_ENTRIES, 0):
+        kept = keep_ordinary(frame, fit(frame.select("doc_id", "text"), spark.createDataFrame(labels, LABELS), broadcast_entries=most))
+        assert kept.columns == frame.columns and kept.where("doc_id = 9000").count() == 1
+        assert all(tuple(r)[2:] == tuple(names[1:]) for r in kept.limit(20).collect())
 
 
 def test_fold(spark):
@@ -73,12 +146,11 @@ def test_fold(spark):
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in got)
 
 
-def test_model_falls_back_to_stems():
-    from quire.llm.toxicity import _hash, stem
-
-    model = Model(np.array([_hash(b"\0" + stem(b"vermin"))]), np.array([2.5]))
+def test_model_falls_back_to_stems_and_the_rest():
+    model = Model(np.array([stem_key(b"vermin")]), np.array([[-3.0, -0.5]]), rest=(-9.0, -8.0))
     model.learn({b"vermins", b"other"})
-    assert model.features([b"vermins", b"other"])[3] == 2.5 and model.features([]) == (0.0,) * 4
+    ordinary, toxic = model.likelihoods([b"vermins", b"other"])
+    assert features_of(ordinary, toxic) == (1.75, 0.75, 1.75, 2.5) and features_of(ordinary[:0], toxic[:0]) == (0.0,) * 4
 
 
 def test_curve_orders_scores():
