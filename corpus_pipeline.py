@@ -39,7 +39,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws documents at the probabilities that bring sources, languages and shapes to their target weights."""
-    return mixing.mix(docs).where("_kept").select(docs.columns)
+    return mixing.mix(docs, targets={"lang": mixing.LANGUAGES}).where("_kept").select(docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
