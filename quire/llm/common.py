@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +51,13 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release_disk(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and checkpoints of tables that nothing refers to any more: it does so when the
+    driver collects garbage, which a driver with little to do would put off until the disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(*columns: str) -> Column:
     """A non-null key for the values of these columns, nulls included."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import ascii_lower, durable, small_batches, table, utf8
+from quire.llm.common import ascii_lower, durable, release_disk, small_batches, table, utf8
 from quire.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -220,15 +220,17 @@ def _compared(make_close):
     return run
 
 
-def _listed(keys: DataFrame, values: DataFrame, block: int) -> DataFrame:
-    """Rows (c, key, name) of the lists with two names and more, with the values (name, value), dealt in block pairs.
+def _lists(keys: DataFrame) -> DataFrame:
+    """The rows (c, key, name) of the lists with two names and more, and n, the names of the list."""
+    counts = durable(keys.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    return keys.join(counts, ["c", "key"]).select("c", "key", "name", "n")
 
-    Where keys have a root, only lists of two roots and more."""
-    several = F.min("root") < F.max("root") if "root" in keys.columns else F.count("*") > 1
-    counts = durable(keys.groupBy("c", "key").agg(F.count("*").alias("n"), several.alias("several")).where("several").drop("several"))
-    listed = keys.join(counts, ["c", "key"]).select("c", "key", "name", F.expr(f"cast(ceil(n / {block}) as int)").alias("blocks"))
+
+def _dealt(listed: DataFrame, values: DataFrame | None, block: int) -> DataFrame:
+    """Rows (c, key, name, n) with the values (name, value), dealt in pairs of blocks of their list."""
+    blocked = listed.select("c", "key", "name", F.expr(f"cast(ceil(n / {block}) as int)").alias("blocks"))
     own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-    paired = listed.select("c", "key", "name", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+    paired = blocked.select("c", "key", "name", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "c", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "name"
     )
     with_values = paired.join(values, "name") if values is not None else paired.withColumn("value", F.col("name"))
@@ -246,7 +248,7 @@ def near_links(values: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK)
         "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("c", "key")
     )
     close = lambda values: bits_close(np.array(values, np.int64), max_bits)
-    return _listed(keys.withColumnRenamed("fp", "name"), None, block).mapInArrow(_compared(close), "a long, b long")
+    return _dealt(_lists(keys.withColumnRenamed("fp", "name")), None, block).mapInArrow(_compared(close), "a long, b long")
 
 
 def _keys_of(values: DataFrame) -> DataFrame:
@@ -258,9 +260,11 @@ def _rows_of_bytes(found: list) -> np.ndarray:
     return np.frombuffer(b"".join(map(bytes, found)), np.uint8).reshape(-1, POSITIONS)
 
 
-def positional_links(values: DataFrame, least: int = LEAST_MATCHES, block: int = BLOCK) -> DataFrame:
-    """(a, b) between the names of second fingerprints (name, value; distinct) that span what `least` matches connect."""
-    return _listed(_keys_of(values), values, block).mapInArrow(_compared(lambda found: bytes_close(_rows_of_bytes(found), least)), "a long, b long")
+def positional_links(values: DataFrame, least: int = LEAST_MATCHES, block: int = BLOCK, listed: DataFrame | None = None) -> DataFrame:
+    """(a, b) between the names of second fingerprints (name, value; distinct) that span what `least` matches connect.
+
+    listed: the lists of their keys, where they are known."""
+    return _dealt(_lists(_keys_of(values)) if listed is None else listed, values, block).mapInArrow(_compared(lambda found: bytes_close(_rows_of_bytes(found), least)), "a long, b long")
 
 
 def _first_labels(group: np.ndarray, roots: np.ndarray) -> np.ndarray:
@@ -397,6 +401,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = [shingle_set(hashes(t.as_py(), shingle_words)) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([set_name(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["name", "members"])
 
+    release_disk(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     text_hash = F.xxhash64(F.col(text_col)).alias("text_hash")
     prints = durable(small_batches(docs).select(id_col, text_col, text_hash).mapInArrow(run, f"_id {kind}, text_hash long, fp long, value binary, name long"))
@@ -415,7 +420,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = nodes.join(stands, "fp").where("name <> stand").select(F.col("name").alias("a"), F.col("stand").alias("b"))
     side = lambda end: stands.select(F.col("fp").alias(end), F.col("stand").alias(f"s{end}"))
     bits = near_links(stands.select("fp"), max_bits).join(side("a"), "a").join(side("b"), "b").select(F.col("sa").alias("a"), F.col("sb").alias("b"))
-    alike = positional_links(values, least)
+    listed = durable(_lists(_keys_of(values)))
+    alike = positional_links(values, least, BLOCK, listed)
     from_both = alike.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"), F.lit(0).alias("by")).unionByName(
         same.unionByName(bits).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"), F.lit(1).alias("by"))
     )
@@ -425,15 +431,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sure = durable(_verified(proposed, members_of(ends(proposed)), least_similarity))
 
     rooted = durable(connected_components(sure))
+    del proposed, alike, from_both, bits
+    release_disk(docs.sparkSession)
     known = durable(values.join(rooted.withColumnRenamed("node", "name"), "name", "left").select("name", F.struct("value", F.coalesce("root", "name").alias("root")).alias("value")))
-    roots = known.select("name", F.col("value.root").alias("root"))
-    listed = _listed(_keys_of(values).join(roots, "name"), known, BLOCK).select("c", "key", "i", "j", "name", F.col("value.value").alias("value"), F.col("value.root").alias("root"))
+    # Of the lists only those that hold several components are gone through again.
+    with_roots = listed.join(known.select("name", F.col("value.root").alias("root")), "name")
+    several = durable(with_roots.groupBy("c", "key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("n")).where("first < last").select("c", "key", "n"))
+    again = _dealt(listed.drop("n").join(several, ["c", "key"]), known, BLOCK).select("c", "key", "i", "j", "name", F.col("value.value").alias("value"), F.col("value.root").alias("root"))
     fields = "c int, key long, i int, j int, name long, value binary, root long"
-    left_open = durable(listed.mapInArrow(_left_open(least), fields))
+    left_open = durable(again.mapInArrow(_left_open(least), fields))
     with_members = left_open.join(members_of(left_open.select("name").distinct()), "name").select(*left_open.columns, "members")
     more = small_batches(_by_list(with_members)).mapInArrow(_settled(least, least_similarity), "a long, b long")
 
-    rooted = durable(connected_components(sure.unionByName(more)))
+    # The components found so far, joined by what was found after them.
+    root_of = known.select("name", F.col("value.root").alias("root"))
+    joined = durable(more).join(root_of.withColumnRenamed("name", "a"), "a").withColumnRenamed("root", "ra").join(root_of.withColumnRenamed("name", "b"), "b").select(F.col("ra").alias("a"), F.col("root").alias("b"))
+    above = durable(connected_components(joined))
+    rooted = durable(root_of.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(F.col("name").alias("node"), F.coalesce("top", "root").alias("root")))
+    del again, several, with_roots, left_open, with_members, more, joined, above
+    release_disk(docs.sparkSession)
     least_of = durable(rooted.join(nodes.select("name", "least_id"), F.col("node") == F.col("name")).groupBy("root").agg(F.min("least_id").alias("component_id")))
     linked = rooted.join(least_of, "root").select(F.col("node").alias("name"), "component_id")
     of = durable(nodes.select("name", "least_id").join(linked, "name", "left").select("name", F.coalesce("component_id", "least_id").alias("component_id")))
