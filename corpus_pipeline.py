@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.durable import shared_folder
 from quire.llm import byte_bpe, line_dedup, mixing, simhash, toxicity
 from quire.llm.common import table
 
@@ -60,8 +61,7 @@ ORACLE_SQL = None
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base}/corpus-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 MAX_CYCLES = 2
 # What a review may flag, and how gravely.
@@ -58,12 +59,13 @@ def digest(checked: DataFrame, by: list[str], cross_field: DataFrame | None = No
     """
     failed = F.col("verdict").startswith("FAILED")
     line = F.concat(F.lit("  "), "item", F.lit(": "), "verdict")
-    sums = checked.groupBy(*by).agg(
-        F.count_if(F.col("verdict") == "VERIFIED").alias("v"), F.count("*").alias("n"), F.count_if(failed).alias("f"),
-        F.array_sort(F.collect_list(F.when(failed, F.struct("nr", line.alias("t"))))).alias("lines"),
-    )
+    # Ranked before they are collected: tasks send on no more than the first few of each group.
+    nth = F.row_number().over(W.partitionBy(*by).orderBy("nr", "t"))
+    first = checked.where(failed).select(*by, "nr", line.alias("t")).withColumn("nth", nth).where(F.col("nth") <= FAILURES_SHOWN)
+    lines = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("nth", "t"))).alias("lines"))
+    sums = checked.groupBy(*by).agg(F.count_if(F.col("verdict") == "VERIFIED").alias("v"), F.count("*").alias("n"), F.count_if(failed).alias("f")).join(lines, by, "left")
     head = F.concat(F.lit("Verified: "), "v", F.lit("/"), "n", F.lit(", Failed: "), "f")
-    shown = F.transform(F.slice("lines", 1, FAILURES_SHOWN), lambda x: x["t"])
+    shown = F.coalesce(F.transform("lines", lambda x: x["t"]), F.array().cast("array<string>"))
     parts = F.concat(F.array(head), shown)
     if cross_field is not None:
         sums = sums.join(cross_field.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("issue")), "; ").alias("x")), by, "left")

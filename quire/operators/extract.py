@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.schemas import RECORDS, Field, fields, root_of, struct_of
+from quire.schemas import RECORDS, Field, root_of, struct_of
 from quire.text import strip
 
 APPENDIX_CHARS = 3_000
@@ -60,11 +60,11 @@ def _one(value, field: Field, where: str) -> tuple[object, list[str]]:
     if field.kind in RECORDS:
         return check_record(value, field.kind, where) if isinstance(value, dict) else (None, [f"{where}: an object is due"])
     wrong = (None, [f"{where}: {field.kind} is due"])
-    if field.kind == "s":
+    if field.kind == "string":
         if not isinstance(value, str):
             return wrong
         return (value, []) if field.allowed is None or value in field.allowed else (None, [f"{where}: {value!r} is not allowed"])
-    if field.kind == "b":
+    if field.kind == "boolean":
         known = {True: True, False: False, "true": True, "false": False, "yes": True, "no": False, "on": True, "off": False, "1": True, "0": False}
         key = value.lower() if isinstance(value, str) else value
         return (known[key], []) if isinstance(key, (str, bool, int)) and key in known else wrong
@@ -72,9 +72,9 @@ def _one(value, field: Field, where: str) -> tuple[object, list[str]]:
         number = float(value) if isinstance(value, (int, float, str)) else None
     except ValueError:
         number = None
-    if number is None or (field.kind == "i" and not number.is_integer()):
+    if number is None or (field.kind == "integer" and not number.is_integer()):
         return wrong
-    return (int(number) if field.kind == "i" else number), []
+    return (int(number) if field.kind == "integer" else number), []
 
 
 def check_record(data: dict, record: str, path: str = "") -> tuple[dict, list[str]]:
@@ -84,7 +84,7 @@ def check_record(data: dict, record: str, path: str = "") -> tuple[dict, list[st
     required fields: then it is null.
     """
     out, errors = {}, []
-    for f in fields(record):
+    for f in RECORDS[record]:
         if f.name in data:
             out[f.name], wrong = coerce(data[f.name], f, path)
             errors += wrong

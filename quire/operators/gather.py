@@ -12,6 +12,8 @@ from quire.text import CHARS_PER_TOKEN, blank, words
 CONTEXT_TOKENS = 32_000
 HIGH, MEDIUM = 0.8, 0.5
 SHORTENED = 2_000
+#: Parts in which the items of one size are picked before they meet.
+SALTS = 64
 GATHER_CHARS = 150_000
 TABLE_ROWS = 100
 
@@ -126,13 +128,18 @@ def pack(items: DataFrame, by: list[str], budget: int = CONTEXT_TOKENS, high: fl
     In order of score, sections before tables and then ord on ties: whole from `high` on, their beginning from `medium` on,
     else not at all. What does not fit is passed over and later ones may still fit, so this is a fold, not a running sum.
     Only lengths go through the fold, and only of items that could be taken: of those of one size no more than the budget
-    holds, the first ones, since a size that does not fit once never fits again. So no group is too long for its task.
+    holds, the first ones, since a size that does not fit once never fits again. They are picked in SALTS parts of each
+    size first, so that a size with most of the items is no task of its own. Items that cost nothing always fit: they do
+    not go through the fold and get their places behind it.
     """
     able = items.where(F.col("score") >= medium).withColumn("shortened", F.col("score") < high)
     able = able.withColumn("est", F.floor(F.when(F.col("shortened"), F.least(F.length("text"), F.lit(SHORTENED))).otherwise(F.length("text")) / CHARS_PER_TOKEN))
     order = [F.col("score").desc(), F.when(F.col("type") == "table", 1).otherwise(0), F.col("ord"), F.col("item_id")]
-    nth = F.row_number().over(W.partitionBy(*by, "est").orderBy(*order))
-    able = able.where(F.col("est") <= budget).withColumn("_nth", nth).where((F.col("est") == 0) | (F.col("_nth") * F.col("est") <= budget)).drop("_nth")
+    free, able = able.where("est = 0"), able.where(F.col("est").between(1, budget)).withColumn("_salt", F.pmod(F.xxhash64("type", "ord", "item_id"), F.lit(SALTS)))
+    for part in (["est", "_salt"], ["est"]):
+        nth = F.row_number().over(W.partitionBy(*by, *part).orderBy(*order))
+        able = able.withColumn("_nth", nth).where(F.col("_nth") * F.col("est") <= budget).drop("_nth")
+    able = able.drop("_salt")
     entry = F.struct((-F.col("score")).alias("neg"), F.when(F.col("type") == "table", 1).otherwise(0).alias("kind"), "ord", "item_id", "est")
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<type:int,item_id:string,ord:bigint,used:bigint>>").alias("taken"))
 
@@ -143,10 +150,15 @@ def pack(items: DataFrame, by: list[str], budget: int = CONTEXT_TOKENS, high: fl
         return F.struct(F.when(fits, total).otherwise(a["used"]).alias("used"), F.when(fits, F.concat(a["taken"], F.array(one))).otherwise(a["taken"]).alias("taken"))
 
     folded = able.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(entry)), start, step, lambda a: a["taken"]).alias("_taken"))
-    taken = folded.select(*by, F.posexplode("_taken").alias("pos", "_t")).select(*by, "pos", F.when(F.col("_t.type") == 1, "table").otherwise("section").alias("_kind"), F.col("_t.item_id").alias("item_id"), F.col("_t.ord").alias("ord"), F.col("_t.used").alias("used"))
+    taken = folded.select(*by, F.explode("_taken").alias("_t")).select(*by, F.when(F.col("_t.type") == 1, "table").otherwise("section").alias("_kind"), F.col("_t.item_id").alias("item_id"), F.col("_t.ord").alias("ord"), F.col("_t.used").alias("used"))
     text = F.when(F.col("shortened"), F.substring("text", 1, SHORTENED)).otherwise(F.col("text"))
     met = able.withColumn("_kind", F.when(F.col("type") == "table", "table").otherwise("section")).withColumn("ord", F.col("ord").cast("long"))
-    return taken.join(met, [*by, "_kind", "item_id", "ord"]).select(*by, "pos", "type", "item_id", "score", "shortened", "est", "used", text.alias("text"))
+    fit = taken.join(met, [*by, "_kind", "item_id", "ord"]).select(*by, "type", "item_id", "ord", "score", "shortened", "est", "used", text.alias("text"))
+    free = free.select(*by, "type", "item_id", F.col("ord").cast("long").alias("ord"), "score", "shortened", "est", F.lit(0).cast("long").alias("used"), text.alias("text"))
+    placed = W.partitionBy(*by).orderBy(*order)
+    return fit.unionByName(free).select(
+        *by, (F.row_number().over(placed) - 1).alias("pos"), "type", "item_id", "score", "shortened", "est", F.max("used").over(placed.rowsBetween(W.unboundedPreceding, 0)).alias("used"), "text"
+    )
 
 
 def context(packed: DataFrame, by: list[str]) -> DataFrame:

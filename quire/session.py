@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 # The variables that settings are read from, and their defaults.
@@ -33,3 +34,25 @@ class Settings:
     vision_calls: int = _setting("VISION_CALL_LIMIT")
     max_tokens: int = _setting("MAX_TOKENS")
     temperature: float = _setting("TEMPERATURE")
+
+
+# The variables with the keys of a tracing service and of a model service.
+TRACING_KEYS = ("LANGFUSE_PUBLIC_KEY", "LANGFUSE_SECRET_KEY")
+MODEL_KEY = "OPENAI_API_KEY"
+
+
+def tracing_hook(make: Callable[[str, str], Callable[[dict], None]], environ: Mapping[str, str] = os.environ) -> Callable[[dict], None] | None:
+    """make(public key, secret key), a function that engine.run_query's on_step can be; None unless both keys are set
+    and what make needs can be imported."""
+    keys = [environ.get(k, "") for k in TRACING_KEYS]
+    if not all(keys):
+        return None
+    try:
+        return make(*keys)
+    except ImportError:
+        return None
+
+
+def model_client(make: Callable[[str], object], environ: Mapping[str, str] = os.environ) -> object:
+    """make(key), the client that an adapter asks; made where it is called, as on an executor, never on import."""
+    return make(environ.get(MODEL_KEY, ""))

@@ -1 +1 @@
-"""Nothing here yet: documents come as files, and nothing in the survey is a stream."""
+"""Documents and run logs as they arrive, by Structured Streaming."""
