@@ -76,6 +76,7 @@ class ByteBPE:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes_of[i] = bytes(self.byte_of[c] for c in token)  # the table, reversed
+        self.sizes = np.array(list(map(len, self.bytes_of)), np.int64)
         self.memory: dict[str, list[int]] = {}
 
     def spell(self, data: bytes) -> str:
@@ -96,14 +97,19 @@ class ByteBPE:
         get = self.memory.__getitem__
         return [list(chain.from_iterable(map(get, pieces))) for pieces in cut]
 
+    def places(self, data: bytes, ids: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, split) of each token: the code points it covers, also in part, and whether it begins within one."""
+        first = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+        char_at = np.cumsum(first, dtype=np.int64) - 1  # of each byte, the code point it belongs to
+        sizes = self.sizes[np.array(ids, np.int64)]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        return char_at[starts], char_at[ends - 1] + 1, ~first[starts]
+
     def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
         """(start, end) of each token in code points; one that holds part of a character covers that character."""
-        data = utf8(text)
-        raw = np.frombuffer(data, np.uint8)
-        char_at = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte, the code point it belongs to
-        ends = np.cumsum([len(self.bytes_of[i]) for i in ids])
-        starts = np.concatenate(([0], ends[:-1])) if len(ids) else ends
-        return [(int(char_at[a]), int(char_at[b - 1]) + 1) for a, b in zip(starts, ends, strict=True)]
+        starts, ends, _ = self.places(utf8(text), ids)
+        return list(zip(starts.tolist(), ends.tolist(), strict=True))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -168,11 +174,19 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): every text encoded, its ids decoded, and both digested; with keep_ids also ids.
+    """(id, n_tokens, ids_sha256, decoded_sha256, starts_sha256, n_split): every text encoded, its ids decoded, and both
+    digested; with keep_ids also ids.
 
-    ids are digested as little-endian unsigned 32-bit integers. Nulls, empty and repeated rows as in encode().
+    ids are digested as little-endian unsigned 32-bit integers, and so are the tokens' first code points; n_split tokens
+    begin within a character. Nulls, empty and repeated rows as in encode().
     """
     path, pattern = path or vocabulary_path(), pattern or split_pattern()
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+
+    def one(bpe: ByteBPE, ids: list[int]) -> tuple:
+        data = bpe.decode_bytes(ids)
+        starts, _, split = bpe.places(data, ids)
+        return len(ids), sha(np.array(ids, "<u4").tobytes()), sha(data), sha(starts.astype("<u4").tobytes()), int(split.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)
@@ -180,22 +194,18 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             at = 0
             for _, texts in steps(batch.column(1), STEP_BYTES):
                 found = bpe.encode_batch(texts)
-                packed = [np.array(ids, "<u4").tobytes() for ids in found]
-                columns = [
-                    batch.column(0).slice(at, len(texts)),
-                    pa.array(list(map(len, found)), pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
-                    pa.array([hashlib.sha256(bpe.decode_bytes(np.frombuffer(p, "<u4").tolist())).hexdigest() for p in packed], pa.string()),
-                ]
+                told = zip(*[one(bpe, ids) for ids in found], strict=True)
+                columns = [batch.column(0).slice(at, len(texts)), *[pa.array(c, t) for c, t in zip(told, kinds, strict=True)]]
                 if keep_ids:
                     columns.append(pa.array(found, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names)
                 at += len(texts)
         release_memory()
 
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
-    fields = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "starts_sha256", "n_split", *(["ids"] if keep_ids else [])]
+    fields = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, starts_sha256 string, n_split long" + (", ids array<int>" if keep_ids else "")
     return small_batches(docs).select(id_col, text_col).mapInArrow(run, fields)
 
 

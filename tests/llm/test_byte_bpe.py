@@ -66,4 +66,14 @@ def test_tables(spark):
     assert sorted(str((r["doc_id"], r["text"])) for r in decode(encoded).collect()) == sorted(str((i, t or "")) for i, t, _ in rows)
     for r in round_trip(frame, keep_ids=True).collect():
         assert r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest()
+        bpe, text = test_round_trip_offsets_and_streams.bpe, next(t for i, t, _ in rows if i == r["doc_id"]) or ""
+        starts, split, at = [], 0, 0
+        inside = [k for k, c in enumerate(text) for _ in c.encode()]  # of each byte its code point
+        whole = {len(text[:k].encode()) for k in range(len(text))} if len(text) < 100 else set(range(at, len(text.encode())))
+        for t in r["ids"]:
+            starts.append(inside[at])
+            split += at not in whole
+            at += len(bpe.bytes_of[t])
+        assert r["starts_sha256"] == hashlib.sha256(np.array(starts, "<u4").tobytes()).hexdigest() and r["n_split"] == split
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert encode(frame.limit(0)).count() == decode(encoded.limit(0)).count() == round_trip(frame.limit(0)).count() == 0

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from quire.llm import media
-from quire.llm.media import BadImage, decode, decode_many, encode, features, media_columns, padded, stored_payload
+from quire.llm.media import BadImage, decode, decode_many, encode, features, media_columns, padded, stored_payload, op9_media_columns
 
 
 def payloads():
@@ -127,3 +127,35 @@ def test_columns(spark):
         assert stored_payload(decode(bytes(r["media"]))) == payload and r["feature"].startswith(f"{r['width']}x{r['height']}:")
     assert len({r["feature"] for r in got if r["doc_id"] == 1}) == 1
     assert media_columns(frame.limit(0)).count() == 0
+
+
+def naive_feature(file, payload):
+    """The feature from the file's frame header and the payload alone, pixel by pixel."""
+    at = file.index(b"\xff\xc0")
+    high, wide = struct.unpack(">HH", file[at + 5 : at + 9])
+    quant = file[file.index(b"\xff\xdb") + 5]
+    across, down = -(-wide // 8), -(-high // 8)
+    pixels = []
+    for k in range(across * down):
+        byte = payload[64 * k] if 64 * k < len(payload) else 0
+        level = (byte if byte >= 128 else byte - 255) * quant
+        pixels.append(min(255, max(0, (level + 4) // 8 + 128)))
+    bits = []
+    for k in range(64):
+        a, b = k * len(pixels) // 64, (k + 1) * len(pixels) // 64
+        part = pixels[a : max(b, a + 1)]
+        bits.append("1" if sum(part) * len(pixels) > sum(pixels) * len(part) else "0")
+    return wide, high, f"{wide}x{high}:{int(''.join(bits), 2):016x}:{hashlib.sha256(bytes(pixels)).hexdigest()[:32]}"
+
+
+def test_query_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    got = op9_media_columns(spark, folder).collect()
+    assert {r["doc_id"] for r in got} == set(texts)
+    for r in got:
+        n, payload = padded(texts[r["doc_id"]])
+        file = encode(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest())
+        assert (r["width"], r["height"], r["feature"]) == naive_feature(file, payload)

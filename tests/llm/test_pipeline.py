@@ -48,4 +48,4 @@ def test_stages_take_effect(spark, sf_dir):
 
 def test_run_gives_the_last_stage(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() > 50
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "starts_sha256", "n_split", "ids"] and out.count() > 50
