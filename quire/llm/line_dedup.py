@@ -1,46 +1,69 @@
 """Removal of line windows that occurred before, by DataFrame functions alone.
 
 Every run of three consecutive lines is hashed. A window's first occurrence, by
-(document id, line number), stays; all later ones mark the three lines they
-cover, and the union of the marked lines is cut from the document.
+(document id, place), stays; all later ones mark the three lines they cover, and
+the union of the marked lines is cut from the document.
+
+A passage that repeats inside longer lines has no three lines of its own. There the
+sentences of the lines stand for lines: runs of three consecutive sentences of some
+length are windows as well, and mark the sentences that they cover.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import durable, row_key, table
 
 WINDOW_LINES = 3
+#: Characters that a window of sentences has at least; shorter ones repeat by chance.
+LEAST_CHARS = 100
 #: Bits of the bitmap (2 MB) that tells most documents without a cut; where it fills up, more texts are shuffled.
 MARK_BITS = 1 << 24
+#: A sentence's place is its line's times this, and its number in the line.
+LINE = 1 << 31
+
+
+def _lines(text: Column) -> Column:
+    """The lines of a text as arrays of their sentences, which keep the space at their ends."""
+    return F.transform(F.split(text, "\n", -1), lambda x: F.split(x, r"(?<=[.!?] )", -1))
+
+
+def _hashed(unit: Column, at: Column, whole: Column) -> Column:
+    return F.struct(
+        F.xxhash64(unit).alias("a"), F.xxhash64(F.lit("second"), unit).alias("b"), unit.rlike(r"[^\x20\x09-\x0D]").alias("filled"),
+        F.length(unit).alias("n"), at.cast("long").alias("at"), whole.alias("whole"),
+    )
 
 
 def _windows(docs: DataFrame, keys: list[str], text_col: str, size: int) -> DataFrame:
-    """keys, pos and the 128-bit hash (a, b) of each window that holds a word.
+    """keys, places (of the lines or sentences covered), and the 128-bit hash (a, b) of each window that holds a word.
 
-    Lines are hashed once; a window's hash is that of its line hashes.
+    A place is at least LINE * number of the line; those of whole lines are negative. Lines and sentences are hashed
+    once; a window's hash is that of theirs. Windows of sentences that are whole lines are windows of lines already.
     """
-    lines = docs.select(
+    units = docs.select(
         *keys,
-        F.transform(
-            F.split(F.col(text_col), "\n", -1),
-            lambda x: F.struct(
-                F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"), x.rlike(r"[^\x20\x09-\x0D]").alias("w")
-            ),
-        ).alias("_lines"),
-    ).where(F.size("_lines") >= size)
-    shifted = [F.slice("_lines", k + 1, F.size("_lines") - (size - 1)).alias(f"l{k}") for k in range(size)]
-    spread = lines.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "_w"))
-    each = [F.col(f"_w.l{k}") for k in range(size)]
-    filled = reduce(lambda x, y: x | y, [x["w"] for x in each])
-    return spread.where(filled).select(
-        *keys, "pos", F.xxhash64(*[x["a"] for x in each]).alias("a"), F.xxhash64(*[x["b"] for x in each]).alias("b")
+        F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: _hashed(x, -1 - i, F.lit(True))).alias("lines"),
+        F.flatten(F.transform(_lines(F.col(text_col)), lambda x, i: F.transform(x, lambda y, j: _hashed(y, i.cast("long") * LINE + j, F.size(x) == 1)))).alias("sentences"),
     )
 
+    def windows(of: str, counts) -> DataFrame:
+        long = units.where(F.size(of) >= size)
+        shifted = [F.slice(of, k + 1, F.size(of) - (size - 1)).alias(f"l{k}") for k in range(size)]
+        spread = long.select(*keys, F.explode(F.arrays_zip(*shifted)).alias("w"))
+        each = [F.col(f"w.l{k}") for k in range(size)]
+        return spread.where(reduce(lambda x, y: x | y, [x["filled"] for x in each]) & counts(each)).select(
+            *keys, F.array(*[x["at"] for x in each]).alias("places"), F.xxhash64(F.lit(of), *[x["a"] for x in each]).alias("a"), F.xxhash64(F.lit(of), *[x["b"] for x in each]).alias("b")
+        )
+
+    whole = lambda each: F.lit(True)
+    parts = lambda each: ~reduce(lambda x, y: x & y, [x["whole"] for x in each]) & (reduce(lambda x, y: x + y, [x["n"] for x in each]) >= LEAST_CHARS)
+    return windows("lines", whole).unionByName(windows("sentences", parts))
+
 
 def _marks(rows: DataFrame) -> DataFrame:
     """(word, bits): a bitmap of MARK_BITS bits in which each row is marked; of bounded size, whatever the rows."""
@@ -50,80 +73,96 @@ def _marks(rows: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_LINES) -> DataFrame:
-    """docs with repeated line windows cut from text_col, plus _n_lines and _n_removed (both int).
+    """docs with repeated windows cut from text_col, plus _n_lines, _n_removed (lines that went whole) and _n_sentences
+    (sentences that went from other lines), all int.
 
-    Lines end at \\n and are compared exactly. All columns of docs stay, whatever their names, but for columns
-    _n_lines and _n_removed of its own, which give way.
+    Lines end at \\n, sentences also at a full stop, question or exclamation mark and a space; both are compared exactly.
+    A window of sentences has LEAST_CHARS characters at least, and one sentence at least that is not its whole line.
+    All columns of docs stay, whatever their names, but for columns of its own with the names of the three, which give way.
     - A null text stays null: 0 lines, 0 removed. An empty text is one line.
-    - A text of fewer lines than a window stays as it is. Windows without a word are no windows.
-    - First means smallest (id, line number), a null id before all. Rows of one id and one text are one
-      document: none of them is later than the other. Rows of one id with other texts are compared at line numbers.
+    - A text of fewer lines and sentences than a window stays as it is. Windows without a word are no windows.
+    - First means smallest (id, place), a null id before all. Rows of one id and one text are one document: none of
+      them is later than the other. Rows of one id with other texts are compared at their places.
     - Of windows that overlap within a document, as in a line said four times, the first stays.
-    - A document whose lines are all covered keeps its row, with an empty text.
+    - A line goes with its line end when all its sentences go. A document whose lines are all covered keeps its row,
+      with an empty text.
     """
-    kept = [c for c in docs.columns if c not in ("_n_lines", "_n_removed")]
+    added = ("_n_lines", "_n_removed", "_n_sentences")
+    kept = [c for c in docs.columns if c not in added]
     # the columns of docs in one of their own, so that no name of theirs meets one of these
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), row_key(id_col, text_col).alias("row")
     )
     windows = _windows(keyed, ["id", "row"], "text", window)
-    order = F.struct(F.col("id"), F.col("pos"))
+    # lines have negative places, the first line the greatest
+    order = F.struct(F.col("id"), F.abs(F.col("places")[0]).alias("pos"))
     # Written, so that the join below has plain exchanges on both sides and can be split where a window is hot.
     repeated = durable(
         windows.groupBy("a", "b")
         .agg(F.min(order).alias("first"), F.max(order).alias("last"))
         .where(~F.col("first").eqNullSafe(F.col("last")))
-        .select("a", "b", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"))
-    )
-    later = windows.join(repeated, ["a", "b"]).where(
-        ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos")))
+        .select("a", "b", "first")
     )
-    cut = durable(later.repartition("row").groupBy("row").agg(F.collect_set("pos").alias("starts")))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (window - 1)))))
+    later = windows.join(repeated, ["a", "b"]).where(~F.col("first").eqNullSafe(order))
+    cut = durable(later.repartition("row").groupBy("row").agg(F.collect_set("places").alias("places")))
+    gone = F.array_distinct(F.flatten("places"))
 
     # Only texts that are cut, and few others that share their mark, are shuffled to meet their cuts.
     marked = keyed.withColumn("word", F.shiftright(F.pmod(F.col("row"), F.lit(MARK_BITS)), 6)).join(F.broadcast(_marks(cut)), "word", "left")
     is_marked = F.coalesce(F.expr("shiftright(bits, cast(pmod(row, 64) as int)) & 1L"), F.lit(0)) == 1
-    joined = marked.where(is_marked).join(cut.select("row", covered.alias("cut")), "row", "left")
-    # Two uses keep the optimiser from splitting the text anew for each line.
-    both = joined.select("doc", "text", "cut").union(marked.where(~is_marked).select("doc", "text", F.lit(None).cast("array<int>"))).withColumn("all", F.split("text", "\n", -1))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("cut")), lambda i: F.get("all", i))
-    cut_text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    joined = marked.where(is_marked).join(cut.select("row", gone.alias("gone")), "row", "left").select("doc", "text", "gone")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
+    whole = lambda rows: rows.select(F.col("doc"), F.col("text").alias("left"), n_lines.alias("n_lines"), F.lit(0).alias("n_removed"), F.lit(0).alias("n_sentences"))
+    both = whole(marked.where(~is_marked)).unionByName(whole(joined.where("gone is null"))).unionByName(_without(joined.where("gone is not null")))
     return both.select(
-        *[(cut_text if c == text_col else F.col("doc").getField(c)).alias(c) for c in kept],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("all")).alias("_n_lines"),
-        F.coalesce(F.size("cut"), F.lit(0)).alias("_n_removed"),
+        *[(F.col("left") if c == text_col else F.col("doc").getField(c)).alias(c) for c in kept],
+        F.col("n_lines").alias("_n_lines"), F.col("n_removed").alias("_n_removed"), F.col("n_sentences").alias("_n_sentences"),
+    )
+
+
+def _without(rows: DataFrame) -> DataFrame:
+    """Of (doc, text, gone): (doc, left, n_lines, n_removed, n_sentences), in time linear in the text."""
+    spread = rows.select("doc", "gone", _lines(F.col("text")).alias("lines"))
+    lines = F.array_except(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (-1 - i).cast("long")), F.col("gone"))
+    stay = spread.select("doc", "gone", "lines", F.transform(lines, lambda at: (-1 - at).cast("int")).alias("stay"))
+    numbered = F.flatten(F.transform("stay", lambda i: F.transform(F.get("lines", i), lambda y, j: i.cast("long") * LINE + j)))
+    placed = stay.select("doc", "lines", numbered.alias("all"), F.array_except(numbered, F.col("gone")).alias("left"))
+    line, nth = (lambda at: F.floor(at / LINE).cast("int")), (lambda at: (at % LINE).cast("int"))
+    piece = lambda at, k: F.concat(F.when((k > 0) & (line(at) != line(F.get("left", k - 1))), "\n").otherwise(""), F.get(F.get("lines", line(at)), nth(at)))
+    n_left = F.size(F.array_distinct(F.transform("left", line)))
+    in_lines = F.size("all") - F.size("left")  # sentences that sentence windows cut
+    return placed.select(
+        "doc", F.array_join(F.transform("left", piece), "").alias("left"), F.size("lines").alias("n_lines"), (F.size("lines") - n_left).alias("n_removed"), in_lines.alias("n_sentences")
     )
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"))
-
-
-SQL_CTES = r"""
-ld_lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM {docs}),
-ld_win AS (
-  SELECT doc_id, p - 1 AS pos, l[p] || chr(10) || l[p + 1] || chr(10) || l[p + 2] AS w
-  FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM ld_lines)),
-ld_ranked AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS nth
-  FROM ld_win WHERE regexp_replace(w, '[\x20\x09-\x0D]', '', 'g') <> ''),
-ld_cut AS (
-  SELECT DISTINCT doc_id, pos + d AS pos FROM ld_ranked, (VALUES (0), (1), (2)) AS o(d) WHERE nth > 1),
-ld_kept AS (
-  SELECT x.doc_id, string_agg(x.line, chr(10) ORDER BY x.pos) AS text, count(*) AS n_kept
-  FROM (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM ld_lines) x
-  ANTI JOIN ld_cut c ON x.doc_id = c.doc_id AND x.pos = c.pos GROUP BY x.doc_id)
-"""
-
-OP4_SQL = (
-    "WITH "
-    + SQL_CTES.format(docs="documents")
-    + """
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
-       CAST(coalesce(len(d.l), 0) AS BIGINT) AS n_lines,
-       CAST(coalesce(len(d.l), 0) - coalesce(k.n_kept, 0) AS BIGINT) AS n_removed
-FROM ld_lines d LEFT JOIN ld_kept k ON d.doc_id = k.doc_id
+    return out.select("doc_id", "text", *[F.col(f"_{c}").cast("long").alias(c) for c in ("n_lines", "n_removed", "n_sentences")])
+
+
+OP4_SQL = rf"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+line AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS nr FROM l),
+piece AS (
+  SELECT doc_id, nr, j, piece, len(ps) = 1 AS whole, row_number() OVER (PARTITION BY doc_id ORDER BY nr, j) AS k
+  FROM (SELECT doc_id, nr, ps, unnest(ps) AS piece, unnest(range(len(ps))) AS j
+        FROM (SELECT doc_id, nr, string_split(regexp_replace(line, '([.!?] )', '\1' || chr(1), 'g'), chr(1)) AS ps FROM line))),
+lw AS (
+  SELECT doc_id, p - 1 AS nr, l[p] || chr(10) || l[p + 1] || chr(10) || l[p + 2] AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM l)),
+lcut AS (
+  SELECT DISTINCT doc_id, nr + d AS nr FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, nr) AS nth FROM lw WHERE regexp_matches(w, '[^\x20\x09-\x0D]')), (VALUES (0), (1), (2)) AS o(d) WHERE nth > 1),
+pw AS (
+  SELECT doc_id, k, piece || chr(1) || p2 || chr(1) || p3 AS w FROM (
+    SELECT doc_id, k, nr, j, piece, lead(piece) OVER o AS p2, lead(piece, 2) OVER o AS p3, whole AND lead(whole) OVER o AND lead(whole, 2) OVER o AS lines FROM piece WINDOW o AS (PARTITION BY doc_id ORDER BY k))
+  WHERE p3 IS NOT NULL AND NOT lines AND length(piece) + length(p2) + length(p3) >= {LEAST_CHARS} AND regexp_matches(piece || p2 || p3, '[^\x20\x09-\x0D]')),
+pcut AS (
+  SELECT DISTINCT doc_id, k + d AS k FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, k) AS nth FROM pw), (VALUES (0), (1), (2)) AS o(d) WHERE nth > 1),
+kept AS (
+  SELECT doc_id, nr, string_agg(piece, '' ORDER BY j) FILTER (pcut.k IS NULL) AS line, count(*) FILTER (pcut.k IS NOT NULL) AS cut
+  FROM piece ANTI JOIN lcut USING (doc_id, nr) LEFT JOIN pcut USING (doc_id, k) GROUP BY doc_id, nr),
+t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY nr) FILTER (line IS NOT NULL) AS text, count(line) AS n_left, sum(cut) AS n_sentences FROM kept GROUP BY doc_id)
+SELECT l.doc_id, CASE WHEN l.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, CAST(coalesce(len(l.l), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(l.l), 0) - coalesce(t.n_left, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.n_sentences, 0) AS BIGINT) AS n_sentences
+FROM l LEFT JOIN t ON l.doc_id = t.doc_id
 """
-)

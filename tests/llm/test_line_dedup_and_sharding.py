@@ -1,9 +1,12 @@
+import random
+import re
+import time
 import zlib
 
 import pytest
 import xxhash
 
-from quire.llm.line_dedup import line_dedup
+from quire.llm.line_dedup import LEAST_CHARS, line_dedup
 from quire.llm.sharding import byte_shards
 
 
@@ -13,20 +16,64 @@ def dedup(spark, rows, **more):
 
 
 def brute(docs, size=3):
-    """Texts by id after removal, windows compared in order."""
-    seen, cut = set(), {}
+    """Texts by id after removal: windows of lines, and of sentences, compared in order."""
+    seen, out = set(), {}
+    filled = lambda w: any(c not in " \t\n\r\x0b\x0c" for c in "".join(w))
     for i, text in sorted(docs.items()):
         lines = text.split("\n")
-        gone = set()
+        pieces = [(n, x, len(parts) == 1) for n, line in enumerate(lines) for parts in [re.split(r"(?<=[.!?] )", line)] for x in parts]
+        no_lines, no_pieces = set(), set()
         for p in range(len(lines) - size + 1):
-            w = tuple(lines[p : p + size])
-            if not any(c not in " \t\n\r\x0b\x0c" for c in "".join(w)):
-                continue
-            if w in seen:
-                gone |= set(range(p, p + size))
-            seen.add(w)
-        cut[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    return cut
+            w = ("line", *lines[p : p + size])
+            if filled(w[1:]):
+                no_lines |= set(range(p, p + size)) if w in seen else set()
+                seen.add(w)
+        for p in range(len(pieces) - size + 1):
+            some = pieces[p : p + size]
+            w = ("piece", *[x for _, x, _ in some])
+            if filled(w[1:]) and not all(whole for *_, whole in some) and sum(map(len, w[1:])) >= LEAST_CHARS:
+                no_pieces |= set(range(p, p + size)) if w in seen else set()
+                seen.add(w)
+        left = {}
+        for k, (n, x, _) in enumerate(pieces):
+            if n not in no_lines and k not in no_pieces:
+                left[n] = left.get(n, "") + x
+        out[i] = "\n".join(left.values())
+    return out
+
+
+def test_passages_inside_lines_go(spark):
+    rng = random.Random(4)
+    sentence = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(8)) + rng.choice([". ", "! ", "? "])
+    passage = "".join(sentence() for _ in range(6))
+    own = {i: "".join(sentence() for _ in range(4)) for i in range(1, 5)}
+    docs = {1: f"{own[1]}{passage}{own[1]}", 2: f"first\n{own[2]}{passage}last", 3: f"{passage}\n{own[3]}", 4: f"{own[4]}\n{passage[:60]}. "}
+    got = dedup(spark, [(i, t, 0, "p") for i, t in docs.items()])
+    assert {i: v[0] for (i, _), v in got.items()} == brute(docs)
+    assert got[1, 0][2] == 0 and got[1, 0][0].startswith(own[1] + passage)
+    assert got[2, 0][0] == f"first\n{own[2]}last" and got[3, 0][0] == f"\n{own[3]}" and got[4, 0][0] == docs[4]
+
+
+def test_short_sentences_repeat_by_chance(spark):
+    docs = {1: "Yes. No. Well. " + "x" * 30, 2: "Ah. Yes. No. Well. " + "y" * 30}
+    assert {i: v[0] for (i, _), v in dedup(spark, [(i, t, 0, "p") for i, t in docs.items()]).items()} == docs
+
+
+def test_random_texts_against_brute_force(spark):
+    rng = random.Random(9)
+    sentences = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randrange(1, 12))) + rng.choice([". ", ".", "! ", ""]) for _ in range(12)]
+    docs = {i: "\n".join("".join(rng.choice(sentences) for _ in range(rng.randrange(0, 5))) for _ in range(rng.randrange(0, 6))) for i in range(150)}
+    got = dedup(spark, [(i, t, 0, "p") for i, t in docs.items()])
+    assert {i: v[0] for (i, _), v in got.items()} == brute(docs)
+
+
+def test_very_long_texts_take_linear_time(spark):
+    lines = "\n".join(f"line {i} of many" for i in range(60_000))
+    line = "".join(f"This is the sentence of number {i} in one line. " for i in range(60_000))
+    start = time.time()
+    got = dedup(spark, [(1, f"{lines}\n{line}", 0, "p"), (2, f"{lines}\nown", 0, "p"), (3, f"own {line}", 0, "p")])
+    assert time.time() - start < 90
+    assert got[2, 0] == ("own", 60_001, 60_000) and got[3, 0][0].startswith("own This is the sentence of number 0 in one line. ") and len(got[3, 0][0]) < 200
 
 
 def test_later_windows_go_and_overlaps_merge(spark):
@@ -58,7 +105,7 @@ def test_columns_of_any_name_stay(spark):
 
 def test_other_names_of_id_and_text(spark):
     frame = spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc")], ["id", "doc"])
-    assert {tuple(r) for r in line_dedup(frame, "id", "doc").collect()} == {(1, "a\nb\nc", 3, 0), (2, "", 3, 3)}
+    assert {tuple(r) for r in line_dedup(frame, "id", "doc").collect()} == {(1, "a\nb\nc", 3, 0, 0), (2, "", 3, 3, 0)}
 
 
 def test_hot_windows_meet_over_plain_exchanges(spark):
