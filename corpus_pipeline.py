@@ -21,30 +21,40 @@ SHINGLE_WORDS = 5
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out the documents that the models of the labelled rows call toxic."""
+    """Leaves out the documents that the models of the labelled rows call toxic; null and empty texts have no evidence and stay,
+    unless most labelled documents are toxic. Rows that repeat are judged each, alike."""
     return toxicity.keep_ordinary(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts three-line windows that occurred before; a document of which nothing is left goes."""
-    cut = line_dedup.line_dedup(docs)
-    left = cut.where((F.col("_n_removed") == 0) | (F.col("text") != ""))
-    changed = F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", changed).select(docs.columns)
+    """Cuts three-line windows, and passages inside lines, that occurred before; a document of which nothing is left goes.
+
+    Null and empty texts, which lose nothing, stay as they are; of rows with equal ids and texts none is later than the other.
+    """
+    out = line_dedup.line_dedup(docs)
+    changed = (F.col("_n_removed") > 0) | (F.col("_n_sentences") > 0)
+    left = out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near copies."""
+    """Keeps the document of the smallest id of each group of near copies.
+
+    Documents without an id stay. Null and empty texts are copies of each other; rows that repeat one id stay or go together.
+    """
     return simhash.keep_one(docs, shingle_words=SHINGLE_WORDS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents at the probabilities that bring sources, languages and shapes to their target weights."""
+    """Draws documents at the probabilities that bring sources, languages and topics to their target weights.
+
+    Nulls are values of their own, empty texts weigh one, and rows that repeat one id in a cell come or go together.
+    """
     return mixing.mix(docs, targets={"lang": mixing.LANGUAGES}).where("_kept").select(docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of what is left."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, starts_sha256, n_split, ids) of every row that is left; a null text has no ids."""
     return byte_bpe.round_trip(docs, keep_ids=True)
 
 
