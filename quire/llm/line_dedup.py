@@ -4,9 +4,9 @@ Every run of three consecutive lines is hashed. A window's first occurrence, by
 (document id, place), stays; all later ones mark the three lines they cover, and
 the union of the marked lines is cut from the document.
 
-A passage that repeats inside longer lines has no three lines of its own. There the
-sentences of the lines stand for lines: runs of three consecutive sentences of some
-length are windows as well, and mark the sentences that they cover.
+A passage that repeats inside longer lines has no three lines of its own. On request
+the sentences of the lines stand for lines as well: runs of three consecutive sentences
+of some length are windows too, and mark the sentences that they cover.
 """
 
 from __future__ import annotations
@@ -33,36 +33,37 @@ def _lines(text: Column) -> Column:
 
 
 def _hashed(unit: Column, at: Column, whole: Column) -> Column:
-    return F.struct(
-        F.xxhash64(unit).alias("a"), F.xxhash64(F.lit("second"), unit).alias("b"), unit.rlike(r"[^\x20\x09-\x0D]").alias("filled"),
-        F.length(unit).alias("n"), at.cast("long").alias("at"), whole.alias("whole"),
-    )
+    filled = F.btrim(unit, F.lit(" \t\n\x0b\x0c\r")) != ""
+    return F.struct(F.xxhash64(unit).alias("h"), filled.alias("filled"), F.length(unit).alias("n"), at.cast("long").alias("at"), whole.alias("whole"))
 
 
-def _windows(docs: DataFrame, keys: list[str], text_col: str, size: int) -> DataFrame:
+def _windows(docs: DataFrame, keys: list[str], text_col: str, size: int, sentences: bool) -> DataFrame:
     """keys, places (of the lines or sentences covered), and the 128-bit hash (a, b) of each window that holds a word.
 
     A place is at least LINE * number of the line; those of whole lines are negative. Lines and sentences are hashed
     once; a window's hash is that of theirs. Windows of sentences that are whole lines are windows of lines already.
     """
-    units = docs.select(
-        *keys,
-        F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: _hashed(x, -1 - i, F.lit(True))).alias("lines"),
-        F.flatten(F.transform(_lines(F.col(text_col)), lambda x, i: F.transform(x, lambda y, j: _hashed(y, i.cast("long") * LINE + j, F.size(x) == 1)))).alias("sentences"),
-    )
+    text = F.col(text_col)
+    of_lines = F.transform(F.split(text, "\n", -1), lambda x, i: _hashed(x, -1 - i, F.lit(True)))
+    of_sentences = F.flatten(F.transform(_lines(text), lambda x, i: F.transform(x, lambda y, j: _hashed(y, i.cast("long") * LINE + j, F.size(x) == 1))))
 
-    def windows(of: str, counts) -> DataFrame:
-        long = units.where(F.size(of) >= size)
-        shifted = [F.slice(of, k + 1, F.size(of) - (size - 1)).alias(f"l{k}") for k in range(size)]
+    def windows(name: str, units: Column, counts) -> DataFrame:
+        long = docs.select(*keys, units.alias("units")).where(F.size("units") >= size)
+        shifted = [F.slice("units", k + 1, F.size("units") - (size - 1)).alias(f"l{k}") for k in range(size)]
         spread = long.select(*keys, F.explode(F.arrays_zip(*shifted)).alias("w"))
         each = [F.col(f"w.l{k}") for k in range(size)]
+        hashed = lambda salt: F.xxhash64(F.lit(f"{name} {salt}"), *[x["h"] for x in each])
         return spread.where(reduce(lambda x, y: x | y, [x["filled"] for x in each]) & counts(each)).select(
-            *keys, F.array(*[x["at"] for x in each]).alias("places"), F.xxhash64(F.lit(of), *[x["a"] for x in each]).alias("a"), F.xxhash64(F.lit(of), *[x["b"] for x in each]).alias("b")
+            *keys, F.array(*[x["at"] for x in each]).alias("places"), hashed("a").alias("a"), hashed("b").alias("b")
         )
 
-    whole = lambda each: F.lit(True)
+    lines = windows("lines", of_lines, lambda each: F.lit(True))
+    if not sentences:
+        return lines
     parts = lambda each: ~reduce(lambda x, y: x & y, [x["whole"] for x in each]) & (reduce(lambda x, y: x + y, [x["n"] for x in each]) >= LEAST_CHARS)
-    return windows("lines", whole).unionByName(windows("sentences", parts))
+    # documents of one sentence a line have no windows of sentences
+    several = F.size(F.split(text, r"[.!?] ", -1)) > 1
+    return lines.unionByName(windows("sentences", F.when(several, of_sentences), parts))
 
 
 def _marks(rows: DataFrame) -> DataFrame:
@@ -72,12 +73,13 @@ def _marks(rows: DataFrame) -> DataFrame:
     return durable(marked.groupBy("word").agg(F.bit_or("bit").alias("bits")))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_LINES) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_LINES, sentences: bool = False) -> DataFrame:
     """docs with repeated windows cut from text_col, plus _n_lines, _n_removed (lines that went whole) and _n_sentences
     (sentences that went from other lines), all int.
 
-    Lines end at \\n, sentences also at a full stop, question or exclamation mark and a space; both are compared exactly.
-    A window of sentences has LEAST_CHARS characters at least, and one sentence at least that is not its whole line.
+    Lines end at \\n and are compared exactly. With sentences, so are sentences, which end at a full stop, question or
+    exclamation mark and a space as well; a window of them has LEAST_CHARS characters at least, and one sentence at least
+    that is not its whole line.
     All columns of docs stay, whatever their names, but for columns of its own with the names of the three, which give way.
     - A null text stays null: 0 lines, 0 removed. An empty text is one line.
     - A text of fewer lines and sentences than a window stays as it is. Windows without a word are no windows.
@@ -93,7 +95,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), row_key(id_col, text_col).alias("row")
     )
-    windows = _windows(keyed, ["id", "row"], "text", window)
+    windows = _windows(keyed, ["id", "row"], "text", window, sentences)
     # lines have negative places, the first line the greatest
     order = F.struct(F.col("id"), F.abs(F.col("places")[0]).alias("pos"))
     # Written, so that the join below has plain exchanges on both sides and can be split where a window is hot.
@@ -138,31 +140,32 @@ def _without(rows: DataFrame) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", *[F.col(f"_{c}").cast("long").alias(c) for c in ("n_lines", "n_removed", "n_sentences")])
-
-
-OP4_SQL = rf"""
-WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-line AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS nr FROM l),
-piece AS (
-  SELECT doc_id, nr, j, piece, len(ps) = 1 AS whole, row_number() OVER (PARTITION BY doc_id ORDER BY nr, j) AS k
-  FROM (SELECT doc_id, nr, ps, unnest(ps) AS piece, unnest(range(len(ps))) AS j
-        FROM (SELECT doc_id, nr, string_split(regexp_replace(line, '([.!?] )', '\1' || chr(1), 'g'), chr(1)) AS ps FROM line))),
-lw AS (
-  SELECT doc_id, p - 1 AS nr, l[p] || chr(10) || l[p + 1] || chr(10) || l[p + 2] AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM l)),
-lcut AS (
-  SELECT DISTINCT doc_id, nr + d AS nr FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, nr) AS nth FROM lw WHERE regexp_matches(w, '[^\x20\x09-\x0D]')), (VALUES (0), (1), (2)) AS o(d) WHERE nth > 1),
-pw AS (
-  SELECT doc_id, k, piece || chr(1) || p2 || chr(1) || p3 AS w FROM (
-    SELECT doc_id, k, nr, j, piece, lead(piece) OVER o AS p2, lead(piece, 2) OVER o AS p3, whole AND lead(whole) OVER o AND lead(whole, 2) OVER o AS lines FROM piece WINDOW o AS (PARTITION BY doc_id ORDER BY k))
-  WHERE p3 IS NOT NULL AND NOT lines AND length(piece) + length(p2) + length(p3) >= {LEAST_CHARS} AND regexp_matches(piece || p2 || p3, '[^\x20\x09-\x0D]')),
-pcut AS (
-  SELECT DISTINCT doc_id, k + d AS k FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, k) AS nth FROM pw), (VALUES (0), (1), (2)) AS o(d) WHERE nth > 1),
-kept AS (
-  SELECT doc_id, nr, string_agg(piece, '' ORDER BY j) FILTER (pcut.k IS NULL) AS line, count(*) FILTER (pcut.k IS NOT NULL) AS cut
-  FROM piece ANTI JOIN lcut USING (doc_id, nr) LEFT JOIN pcut USING (doc_id, k) GROUP BY doc_id, nr),
-t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY nr) FILTER (line IS NOT NULL) AS text, count(line) AS n_left, sum(cut) AS n_sentences FROM kept GROUP BY doc_id)
-SELECT l.doc_id, CASE WHEN l.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, CAST(coalesce(len(l.l), 0) AS BIGINT) AS n_lines,
-       CAST(coalesce(len(l.l), 0) - coalesce(t.n_left, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.n_sentences, 0) AS BIGINT) AS n_sentences
-FROM l LEFT JOIN t ON l.doc_id = t.doc_id
+    return out.select("doc_id", "text", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"))
+
+
+SQL_CTES = r"""
+ld_lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM {docs}),
+ld_win AS (
+  SELECT doc_id, p - 1 AS pos, l[p] || chr(10) || l[p + 1] || chr(10) || l[p + 2] AS w
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM ld_lines)),
+ld_ranked AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS nth
+  FROM ld_win WHERE regexp_replace(w, '[\x20\x09-\x0D]', '', 'g') <> ''),
+ld_cut AS (
+  SELECT DISTINCT doc_id, pos + d AS pos FROM ld_ranked, (VALUES (0), (1), (2)) AS o(d) WHERE nth > 1),
+ld_kept AS (
+  SELECT x.doc_id, string_agg(x.line, chr(10) ORDER BY x.pos) AS text, count(*) AS n_kept
+  FROM (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM ld_lines) x
+  ANTI JOIN ld_cut c ON x.doc_id = c.doc_id AND x.pos = c.pos GROUP BY x.doc_id)
+"""
+
+OP4_SQL = (
+    "WITH "
+    + SQL_CTES.format(docs="documents")
+    + """
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       CAST(coalesce(len(d.l), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(d.l), 0) - coalesce(k.n_kept, 0) AS BIGINT) AS n_removed
+FROM ld_lines d LEFT JOIN ld_kept k ON d.doc_id = k.doc_id
 """
+)

@@ -15,7 +15,7 @@ def dedup(spark, rows, **more):
     return {(r["doc_id"], r["a"]): (r["text"], r["_n_lines"], r["_n_removed"]) for r in out.collect()}
 
 
-def brute(docs, size=3):
+def brute(docs, size=3, sentences=False):
     """Texts by id after removal: windows of lines, and of sentences, compared in order."""
     seen, out = set(), {}
     filled = lambda w: any(c not in " \t\n\r\x0b\x0c" for c in "".join(w))
@@ -31,7 +31,7 @@ def brute(docs, size=3):
         for p in range(len(pieces) - size + 1):
             some = pieces[p : p + size]
             w = ("piece", *[x for _, x, _ in some])
-            if filled(w[1:]) and not all(whole for *_, whole in some) and sum(map(len, w[1:])) >= LEAST_CHARS:
+            if sentences and filled(w[1:]) and not all(whole for *_, whole in some) and sum(map(len, w[1:])) >= LEAST_CHARS:
                 no_pieces |= set(range(p, p + size)) if w in seen else set()
                 seen.add(w)
         left = {}
@@ -48,30 +48,32 @@ def test_passages_inside_lines_go(spark):
     passage = "".join(sentence() for _ in range(6))
     own = {i: "".join(sentence() for _ in range(4)) for i in range(1, 5)}
     docs = {1: f"{own[1]}{passage}{own[1]}", 2: f"first\n{own[2]}{passage}last", 3: f"{passage}\n{own[3]}", 4: f"{own[4]}\n{passage[:60]}. "}
-    got = dedup(spark, [(i, t, 0, "p") for i, t in docs.items()])
-    assert {i: v[0] for (i, _), v in got.items()} == brute(docs)
+    assert {v[0] for v in dedup(spark, [(i, t, 0, "p") for i, t in docs.items()]).values()} == set(docs.values())
+    got = dedup(spark, [(i, t, 0, "p") for i, t in docs.items()], sentences=True)
+    assert {i: v[0] for (i, _), v in got.items()} == brute(docs, sentences=True)
     assert got[1, 0][2] == 0 and got[1, 0][0].startswith(own[1] + passage)
     assert got[2, 0][0] == f"first\n{own[2]}last" and got[3, 0][0] == f"\n{own[3]}" and got[4, 0][0] == docs[4]
 
 
 def test_short_sentences_repeat_by_chance(spark):
     docs = {1: "Yes. No. Well. " + "x" * 30, 2: "Ah. Yes. No. Well. " + "y" * 30}
-    assert {i: v[0] for (i, _), v in dedup(spark, [(i, t, 0, "p") for i, t in docs.items()]).items()} == docs
+    assert {i: v[0] for (i, _), v in dedup(spark, [(i, t, 0, "p") for i, t in docs.items()], sentences=True).items()} == docs
 
 
 def test_random_texts_against_brute_force(spark):
     rng = random.Random(9)
     sentences = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randrange(1, 12))) + rng.choice([". ", ".", "! ", ""]) for _ in range(12)]
     docs = {i: "\n".join("".join(rng.choice(sentences) for _ in range(rng.randrange(0, 5))) for _ in range(rng.randrange(0, 6))) for i in range(150)}
-    got = dedup(spark, [(i, t, 0, "p") for i, t in docs.items()])
-    assert {i: v[0] for (i, _), v in got.items()} == brute(docs)
+    for sentences in (False, True):
+        got = dedup(spark, [(i, t, 0, "p") for i, t in docs.items()], sentences=sentences)
+        assert {i: v[0] for (i, _), v in got.items()} == brute(docs, sentences=sentences)
 
 
 def test_very_long_texts_take_linear_time(spark):
     lines = "\n".join(f"line {i} of many" for i in range(60_000))
     line = "".join(f"This is the sentence of number {i} in one line. " for i in range(60_000))
     start = time.time()
-    got = dedup(spark, [(1, f"{lines}\n{line}", 0, "p"), (2, f"{lines}\nown", 0, "p"), (3, f"own {line}", 0, "p")])
+    got = dedup(spark, [(1, f"{lines}\n{line}", 0, "p"), (2, f"{lines}\nown", 0, "p"), (3, f"own {line}", 0, "p")], sentences=True)
     assert time.time() - start < 90
     assert got[2, 0] == ("own", 60_001, 60_000) and got[3, 0][0].startswith("own This is the sentence of number 0 in one line. ") and len(got[3, 0][0]) < 200
 
