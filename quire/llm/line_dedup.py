@@ -73,13 +73,15 @@ def _marks(rows: DataFrame) -> DataFrame:
     return durable(marked.groupBy("word").agg(F.bit_or("bit").alias("bits")))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_LINES, sentences: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_LINES, sentences: bool = False, settle: bool = True) -> DataFrame:
     """docs with repeated windows cut from text_col, plus _n_lines, _n_removed (lines that went whole) and _n_sentences
     (sentences that went from other lines), all int.
 
     Lines end at \\n and are compared exactly. With sentences, so are sentences, which end at a full stop, question or
     exclamation mark and a space as well; a window of them has LEAST_CHARS characters at least, and one sentence at least
     that is not its whole line.
+    The texts that lose something are written before they are returned (settle): a filter on them would otherwise be worked
+    into the steps that make them, and cut every text anew for each of its lines. Where nothing filters, that can be left out.
     All columns of docs stay, whatever their names, but for columns of its own with the names of the three, which give way.
     - A null text stays null: 0 lines, 0 removed. An empty text is one line.
     - A text of fewer lines and sentences than a window stays as it is. Windows without a word are no windows.
@@ -115,7 +117,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = marked.where(is_marked).join(cut.select("row", gone.alias("gone")), "row", "left").select("doc", "text", "gone")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     whole = lambda rows: rows.select(F.col("doc"), F.col("text").alias("left"), n_lines.alias("n_lines"), F.lit(0).alias("n_removed"), F.lit(0).alias("n_sentences"))
-    both = whole(marked.where(~is_marked)).unionByName(whole(joined.where("gone is null"))).unionByName(_without(joined.where("gone is not null")))
+    less = _without(joined.where("gone is not null"))
+    less = durable(less) if settle else less
+    both = whole(marked.where(~is_marked)).unionByName(whole(joined.where("gone is null"))).unionByName(less)
     return both.select(
         *[(F.col("left") if c == text_col else F.col("doc").getField(c)).alias(c) for c in kept],
         F.col("n_lines").alias("_n_lines"), F.col("n_removed").alias("_n_removed"), F.col("n_sentences").alias("_n_sentences"),
@@ -139,7 +143,7 @@ def _without(rows: DataFrame) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), settle=False)
     return out.select("doc_id", "text", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"))
 
 
