@@ -5,6 +5,7 @@ import zlib
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quire.llm.line_dedup import LEAST_CHARS, line_dedup
 from quire.llm.sharding import byte_shards
@@ -152,3 +153,12 @@ def test_equal_texts_lie_side_by_side(spark):
     got = byte_shards(spark.createDataFrame([(i, f"text {i % 10}") for i in range(100)], "doc_id long, text string"), 1).orderBy("slot").collect()
     crcs = [r["text_crc32"] for r in got]
     assert sum(a != b for a, b in zip(crcs, crcs[1:])) == 9
+
+
+def test_a_filter_on_what_is_left_stays_linear(spark):
+    text = "\n".join(f"line {i} of many" for i in range(20_000))
+    frame = spark.createDataFrame([(i, f"{text}\nown {i}") for i in range(3)], "doc_id long, text string")
+    start = time.time()
+    out = line_dedup(frame)
+    assert {r["text"] for r in out.where(F.col("text").rlike("own [0-9]") & (F.col("_n_removed") > 0)).collect()} == {"own 1", "own 2"}
+    assert time.time() - start < 60
