@@ -97,11 +97,11 @@ class ByteBPE:
         get = self.memory.__getitem__
         return [list(chain.from_iterable(map(get, pieces))) for pieces in cut]
 
-    def places(self, data: bytes, ids: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def places(self, data: bytes, ids: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, split) of each token: the code points it covers, also in part, and whether it begins within one."""
         first = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
-        char_at = np.cumsum(first, dtype=np.int64) - 1  # of each byte, the code point it belongs to
-        sizes = self.sizes[np.array(ids, np.int64)]
+        char_at = np.cumsum(first, dtype=np.int32) - np.int32(1)  # of each byte, the code point it belongs to
+        sizes = self.sizes[ids if len(ids) else np.zeros(0, np.int64)]
         ends = np.cumsum(sizes)
         starts = ends - sizes
         return char_at[starts], char_at[ends - 1] + 1, ~first[starts]
@@ -184,9 +184,9 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sha = lambda data: hashlib.sha256(data).hexdigest()
 
     def one(bpe: ByteBPE, ids: list[int]) -> tuple:
-        data = bpe.decode_bytes(ids)
-        starts, _, split = bpe.places(data, ids)
-        return len(ids), sha(np.array(ids, "<u4").tobytes()), sha(data), sha(starts.astype("<u4").tobytes()), int(split.sum())
+        data, packed = bpe.decode_bytes(ids), np.array(ids, "<u4")
+        starts, _, split = bpe.places(data, packed)
+        return len(ids), sha(packed.tobytes()), sha(data), sha(starts.astype("<u4").tobytes()), int(split.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)
