@@ -69,11 +69,21 @@ def clip_to_grid(placed: DataFrame, n_rows: Column, n_cols: Column) -> DataFrame
     return placed.where((F.col("row") < n_rows) & (F.col("col") < n_cols))
 
 
+def footnote_run(text: Column, space: str = SPACE) -> Column:
+    """The single letters between commas at a cell's end, as many as there are and as they stand; empty if none.
+
+    The end is read backwards first and nothing is tried twice, so that a run of any length takes time linear in the text and no stack.
+    """
+    run = rf"[a-z](?:{space}*,{space}*[a-z])*+"
+    end = F.reverse(F.regexp_extract(F.reverse(text), rf"^{space}*+({run}{space}?)", 1))
+    return F.regexp_extract(end, rf"{space}({run})$", 1)
+
+
 def footnote_refs(text: Column) -> Column:
     """The marks at a cell's end: one letter or sign, or single letters between commas (at most five characters)."""
-    many = F.regexp_extract(text, r"\s+([a-z](?:\s*,\s*[a-z])*)\s*$", 1)
-    one = F.regexp_extract(text, r"\s+([a-z*\x{2020}\x{2021}\x{a7}\x{b6}#])\s*$", 1)
-    listed = F.transform(F.split(many, ","), lambda p: F.trim(p))
+    many = footnote_run(text)
+    one = F.regexp_extract(text, rf"{SPACE}([a-z*\x{{2020}}\x{{2021}}\x{{a7}}\x{{b6}}#]){SPACE}*$", 1)
+    listed = F.transform(F.split(many, ","), strip)
     return F.when((many != "") & (F.length(many) <= 5), listed).when(F.coalesce(one, F.lit("")) != "", F.array(one)).otherwise(F.array().cast("array<string>"))
 
 

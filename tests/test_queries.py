@@ -41,3 +41,13 @@ def test_every_oracle_has_its_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_footnote_refs_keeps_long_runs_as_they_stand(spark, tmp_path):
+    texts = ["of x,", "of x, y, z,", "of x ,", "of x\t,\n", "of x\x0b,", "of\x0bx,", "of x,", "q,", "of X,", "aq,r,", "of p q,r,", "", None, "of " + "m, " * 20_000, "of " + "m, " * 20_000 + "ends"]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = con.sql(entry.oracle_sql()["footnote_refs"]).fetchall()
+    assert dict(map(tuple, entry.queries()["footnote_refs"](spark, str(tmp_path)).collect())) == dict(want)
