@@ -15,12 +15,14 @@ that into a score.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +35,11 @@ FOLDS = 5
 CURVE_ROWS, CURVE_SHARE = 40_000, 1 / 6
 #: Labelled rows (some 12 bytes each) up to which they go to every task; more are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
-#: Entries of the models (16 bytes each) up to which they go to every task; more are joined to the texts that need them.
+#: Entries of the models (16 bytes each) up to which they go to every task at once.
 BROADCAST_ENTRIES = 1 << 22
+#: Beyond, they go in parts of half as many entries, of which a task holds one at a time; beyond so many parts (1 GB in all)
+#: they are joined to the texts that need them, at some twenty times the disk.
+BROADCAST_PARTS = 32
 STEM_LETTERS = 5
 DISCOUNT = 0.9
 #: What the backoffs weigh beside the mass that discounts free: counts for each known expression, and for each stem.
@@ -83,26 +88,43 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
+def _read(part: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+    """The value of a broadcast, which is not kept in the worker."""
+    value = part.value
+    if getattr(part, "_path", None):
+        vars(part).pop("_value", None)
+    return value
+
+
 class Model:
     """Log-likelihoods of expressions under the ordinary and the toxic model, and the logistic curve over a text's features.
 
     keys: of expressions, and of stems for expressions that no labelled row has; logs: of each key both log-likelihoods;
-    rest: those of an expression whose stem no labelled row has.
+    rest: those of an expression whose stem no labelled row has; parts: broadcasts of models, in place of keys and logs,
+    of which the k-th has the keys that leave k when divided by their number.
     """
 
-    def __init__(self, keys: np.ndarray, logs: np.ndarray, rest: tuple[float, float] = (0.0, 0.0), curve: np.ndarray | None = None):
+    def __init__(self, keys: np.ndarray, logs: np.ndarray, rest: tuple[float, float] = (0.0, 0.0), curve: np.ndarray | None = None, parts: Sequence[Broadcast] = ()):
         if len(keys) and (keys[1:] < keys[:-1]).any():
             order = np.argsort(keys)
             keys, logs = keys[order], logs[order]
         self.keys, self.logs, self.rest, self.curve = keys, logs.astype(np.float32, copy=False).reshape(-1, 2), rest, curve
+        self.parts = parts
         self.forget()
 
     def forget(self) -> None:
         self.toxic: dict[bytes, float] = {}
         self.ordinary: dict[bytes, float] = {}
 
-    def _look_up(self, hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        asked = np.array(hashes, np.int64)
+    def _look_up(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.parts:
+            known, logs = np.zeros(len(asked), bool), np.zeros((len(asked), 2), np.float32)
+            of = asked % len(self.parts)
+            for k, part in enumerate(self.parts):
+                here = np.flatnonzero(of == k)
+                if len(here):
+                    known[here], logs[here] = Model(*_read(part))._look_up(asked[here])
+            return known, logs
         if not len(self.keys):
             return np.zeros(len(asked), bool), np.zeros((len(asked), 2), np.float32)
         at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
@@ -116,8 +138,8 @@ class Model:
         if not new:
             return
         plain = [expression(w) for w in new]
-        known, logs = self._look_up([word_key(w) for w in plain])
-        stem_known, stem_logs = self._look_up([stem_key(w) for w in plain])
+        known, logs = self._look_up(np.array([*map(word_key, plain), *map(stem_key, plain)], np.int64))  # together, so that parts are read once
+        (known, stem_known), (logs, stem_logs) = np.split(known, 2), np.split(logs, 2)
         found = np.where(known[:, None], logs, np.where(stem_known[:, None], stem_logs, np.array(self.rest, np.float32)))
         self.ordinary.update(zip(new, found[:, 0].tolist(), strict=True))
         self.toxic.update(zip(new, found[:, 1].tolist(), strict=True))
@@ -199,26 +221,38 @@ def likelihood_table(counts: DataFrame) -> tuple[DataFrame, tuple[float, float]]
 
 
 class Fitted:
-    """The models as a table (key, log0, log1), with them at hand where they are small enough to go to every task."""
+    """The models as a table (key, log0, log1), with them at hand, whole or in parts, where they are small enough to go to every task."""
 
     def __init__(self, entries: DataFrame | None, rest: tuple[float, float], broadcast_entries: int):
         self.entries, self.rest, self.curve = entries, rest, None
         self.model: Model | None = None
+        self.parts: list[Broadcast] = []
         if entries is None:
             self.model = Model(np.zeros(0, np.int64), np.zeros((0, 2)), rest)
-        elif entries.count() <= broadcast_entries:
-            found = entries.toArrow()
-            self.model = Model(found.column("key").to_numpy(), np.stack([found.column(f"log{c}").to_numpy() for c in (0, 1)], axis=1), rest)
+            return
+        size = entries.count()
+        if size <= broadcast_entries:
+            self.model = self._collected(entries)
+        elif size <= BROADCAST_PARTS * (broadcast_entries // 2):
+            n = math.ceil(size / (broadcast_entries // 2))
+            for k in range(n):
+                part = self._collected(entries.where(F.pmod("key", F.lit(n)) == k))
+                self.parts.append(entries.sparkSession.sparkContext.broadcast((part.keys, part.logs)))
+
+    def _collected(self, entries: DataFrame) -> Model:
+        found = entries.toArrow()
+        return Model(found.column("key").to_numpy(), np.stack([found.column(f"log{c}").to_numpy() for c in (0, 1)], axis=1), self.rest)
 
     def over(self, docs: DataFrame, text_col: str, each, schema) -> DataFrame:
         """What each(model, doc columns, texts) returns as a list of arrays, over batches of the rows of docs."""
         packed = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
         rest, curve, names = self.rest, self.curve, [f.name for f in schema.fields]
-        if self.model is not None:
-            shared = docs.sparkSession.sparkContext.broadcast((self.model.keys, self.model.logs))
+        if self.model is not None or self.parts:
+            parts = self.parts
+            shared = None if parts else docs.sparkSession.sparkContext.broadcast((self.model.keys, self.model.logs))
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                own = Model(*shared.value, rest, curve)
+                own = Model(*(shared.value if shared else (np.zeros(0, np.int64), np.zeros((0, 2)))), rest, curve, parts)
                 for batch in batches:
                     yield pa.RecordBatch.from_arrays(each(own, batch.column(0).flatten(), batch.column(1)), names)
                 del own
@@ -290,8 +324,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _features(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of each text its features, and its two length-normalised log-likelihoods, zero where there are no words."""
     found, likelihoods = np.zeros((len(texts), N_FEATURES)), np.zeros((len(texts), 2))
-    for first in range(0, len(texts), 256):
-        words = [words_of(t.as_py()) for t in texts.slice(first, 256)]
+    step = max(1, len(texts)) if model.parts else 256  # parts are read for each step, whose batch is bounded by bytes
+    for first in range(0, len(texts), step):
+        words = [words_of(t.as_py()) for t in texts.slice(first, step)]
         model.learn(set().union(*words))
         for i, w in enumerate(words):
             if w:

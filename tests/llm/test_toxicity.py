@@ -111,6 +111,18 @@ def test_joined_entries_score_like_broadcast_ones(spark):
     assert sorted(keep_ordinary(frame, one).collect()) == sorted(keep_ordinary(frame, two).collect())
 
 
+def test_entries_in_parts_score_like_whole_ones(spark):
+    docs, labels = corpus(500)
+    frame, marked = spark.createDataFrame([*docs, *docs[:3], (9001, None, "x", 0), (9002, "Grubby zzzzz w1", "x", 0)], DOCS), spark.createDataFrame(labels, LABELS)
+    one, two = fit(frame, marked), fit(frame, marked, broadcast_entries=60)
+    assert two.model is None and 10 < len(two.parts) <= 32
+    a, b = (sorted(score(frame, m).drop("doc_id").collect()) for m in (one, two))
+    assert a == b
+    plan = keep_ordinary(frame, two)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # no row for each word of a text
+    assert sorted(keep_ordinary(frame, one).collect()) == sorted(keep_ordinary(frame, two).collect())
+
+
 def test_rare_expressions_tell_no_more_than_their_stem(spark):
     rows = [(word_key(b"poison"), stem_key(b"poison"), 0, 30), (word_key(b"poisoned"), stem_key(b"poison"), 0, 9), (word_key(b"poisons"), stem_key(b"poison"), 0, 9)]
     rows += [(word_key(b"plain%d" % k), stem_key(b"p%dlain" % k), 20, 0) for k in range(50)] + [(word_key(b"seldom"), stem_key(b"seldom"), 0, 1)]
