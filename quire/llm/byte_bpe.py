@@ -4,8 +4,10 @@ A rank file lists tokens as bytes; the tokenizers library wants strings and
 merges. Each byte is given one printable character (the usual byte-to-character
 table), tokens are spelt with it, and the merges are read off the ranks: every
 split of a token into two known tokens is a merge, in order of the token's rank.
-Texts are cut by the splitting pattern, each distinct piece of a batch is encoded
-once, and ids, their places in the text and the decoded bytes follow from those.
+Texts are cut by the splitting pattern, each distinct piece is encoded once and
+remembered by its packed ids, and a text's ids, their places in the text and the
+decoded bytes follow from those. What a worker holds beside one text is bounded: it
+shares its executor's memory with the tables of the stages that ran there before.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import hashlib
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.common import release_memory, small_batches, steps, table, utf8
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Ids as they are remembered and digested.
+PACKED = np.dtype("<u4")
 #: Texts are encoded this many bytes at a time, whatever an Arrow batch holds; a longer text is one such step.
-STEP_BYTES = 4 << 20
-#: Distinct pieces a worker remembers from one step to the next; then it starts afresh.
-MEMORY_PIECES = 100_000
+STEP_BYTES = 512 << 10
+#: Distinct pieces, and characters in them, that a worker remembers; then it starts afresh.
+MEMORY_PIECES, MEMORY_CHARACTERS = 100_000, 4 << 20
+#: Pieces of a longer text that are at hand at once, and new pieces given to the library at once.
+RUN_PIECES, LEARN_PIECES = 1 << 16, 1 << 12
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -71,31 +77,54 @@ class ByteBPE:
             merges += sorted(known, key=lambda h: (ranks[h[0]], ranks[h[1]]))
         vocabulary = {self.spell(t): r for t, r in ranks.items()}
         # A piece that is a token as a whole needs no merge.
-        self.tokenizer = Tokenizer(BPE(vocab=vocabulary, merges=[(self.spell(a), self.spell(b)) for a, b in merges], ignore_merges=True))
+        # No piece is asked for twice but after memory is full, so that the library need not remember any.
+        self.tokenizer = Tokenizer(BPE(vocab=vocabulary, merges=[(self.spell(a), self.spell(b)) for a, b in merges], ignore_merges=True, cache_capacity=0))
         self.pieces = regex.compile(pattern)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes_of[i] = bytes(self.byte_of[c] for c in token)  # the table, reversed
         self.sizes = np.array(list(map(len, self.bytes_of)), np.int64)
-        self.memory: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.memory: dict[str, bytes] = {}
+        self.remembered = 0
 
     def spell(self, data: bytes) -> str:
         return data.decode("latin-1").translate(self.spelling)
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.memory]
-        spelt = [self.spell(p.encode("utf-8", "replace")) for p in new]
-        for piece, found in zip(new, self.tokenizer.encode_batch(spelt, add_special_tokens=False), strict=True):
-            self.memory[piece] = found.ids
+    def _learn(self, pieces: list[str]) -> None:
+        """Afterwards memory has the packed ids of these pieces."""
+        if len(self.memory) > MEMORY_PIECES or self.remembered > MEMORY_CHARACTERS:
+            self.forget()
+        new = list(set(pieces).difference(self.memory))
+        for at in range(0, len(new), LEARN_PIECES):
+            some = new[at : at + LEARN_PIECES]
+            spelt = [self.spell(p.encode("utf-8", "replace")) for p in some]
+            for piece, found in zip(some, self.tokenizer.encode_batch(spelt, add_special_tokens=False), strict=True):
+                self.memory[piece] = np.array(found.ids, PACKED).tobytes()
+        self.remembered += sum(map(len, new))
+
+    def _runs(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text, all at once unless it is long."""
+        if len(text) <= STEP_BYTES:
+            yield self.pieces.findall(text)
+            return
+        found = (m.group() for m in self.pieces.finditer(text))
+        while run := list(islice(found, RUN_PIECES)):
+            yield run
+
+    def pack(self, text: str) -> bytes:
+        """The ids of a text as unsigned 32-bit integers."""
+        packed = []
+        for run in self._runs(text):
+            self._learn(run)
+            packed.append(b"".join(map(self.memory.__getitem__, run)))
+        return b"".join(packed)
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
-        if len(self.memory) > MEMORY_PIECES:
-            self.memory = {}
-        cut = [self.pieces.findall(t) for t in texts]
-        self._learn(chain.from_iterable(cut))
-        get = self.memory.__getitem__
-        return [list(chain.from_iterable(map(get, pieces))) for pieces in cut]
+        return [np.frombuffer(self.pack(t), PACKED).tolist() for t in texts]
 
     def places(self, data: bytes, ids: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, split) of each token: the code points it covers, also in part, and whether it begins within one."""
@@ -133,6 +162,12 @@ def _loaded(path: str, pattern: str) -> ByteBPE:
     return loaded
 
 
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    """Lists of 32-bit integers from their bytes."""
+    ends = np.cumsum([0, *map(len, packed)]) // PACKED.itemsize
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(id, ids array<int>, token_starts array<int>) of every row: token ids and each token's first code point.
 
@@ -145,15 +180,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         bpe = _loaded(path, pattern)
         for batch in batches:
             for first, texts in steps(batch.column(1), STEP_BYTES):
-                ids = bpe.encode_batch(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, len(texts)),
-                        pa.array(ids, pa.list_(pa.int32())),
-                        pa.array([[a for a, _ in bpe.offsets(t, i)] for t, i in zip(texts, ids, strict=True)], pa.list_(pa.int32())),
-                    ],
-                    [id_col, "ids", "token_starts"],
-                )
+                packed = [bpe.pack(t) for t in texts]
+                starts = [bpe.places(utf8(t), np.frombuffer(p, PACKED))[0].tobytes() for t, p in zip(texts, packed, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), _lists(packed), _lists(starts)], [id_col, "ids", "token_starts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, token_starts array<int>")
@@ -183,21 +212,22 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path, pattern = path or vocabulary_path(), pattern or split_pattern()
     sha = lambda data: hashlib.sha256(data).hexdigest()
 
-    def one(bpe: ByteBPE, ids: list[int]) -> tuple:
-        data, packed = bpe.decode_bytes(ids), np.array(ids, "<u4")
-        starts, _, split = bpe.places(data, packed)
-        return len(ids), sha(packed.tobytes()), sha(data), sha(starts.astype("<u4").tobytes()), int(split.sum())
+    def one(bpe: ByteBPE, packed: bytes) -> tuple:
+        ids = np.frombuffer(packed, PACKED)
+        data = bpe.decode_bytes(ids.tolist())
+        starts, _, split = bpe.places(data, ids)
+        return len(ids), sha(packed), sha(data), sha(starts.astype(PACKED).tobytes()), int(split.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)
         for batch in batches:
             at = 0
             for _, texts in steps(batch.column(1), STEP_BYTES):
-                found = bpe.encode_batch(texts)
-                told = zip(*[one(bpe, ids) for ids in found], strict=True)
+                found = [bpe.pack(t) for t in texts]
+                told = zip(*[one(bpe, packed) for packed in found], strict=True)
                 columns = [batch.column(0).slice(at, len(texts)), *[pa.array(c, t) for c, t in zip(told, kinds, strict=True)]]
                 if keep_ids:
-                    columns.append(pa.array(found, pa.list_(pa.int32())))
+                    columns.append(_lists(found))
                 yield pa.RecordBatch.from_arrays(columns, names)
                 at += len(texts)
         release_memory()

@@ -1,13 +1,17 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quire.llm import byte_bpe
 from quire.llm.byte_bpe import ByteBPE, byte_characters, decode, encode, round_trip, split_pattern, vocabulary_path
+from quire.llm.common import steps
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +81,27 @@ def test_tables(spark):
         assert r["starts_sha256"] == hashlib.sha256(np.array(starts, "<u4").tobytes()).hexdigest() and r["n_split"] == split
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert encode(frame.limit(0)).count() == decode(encoded.limit(0)).count() == round_trip(frame.limit(0)).count() == 0
+
+
+def test_long_texts_and_full_memory(judge, monkeypatch):
+    own, rng = ByteBPE(vocabulary_path(), split_pattern()), random.Random(2)
+    for name, value in {"STEP_BYTES": 50, "RUN_PIECES": 7, "LEARN_PIECES": 3, "MEMORY_PIECES": 20, "MEMORY_CHARACTERS": 60}.items():
+        monkeypatch.setattr(byte_bpe, name, value)
+    for n in [*range(0, 120), 3000]:
+        text = "".join(rng.choice(" \n\tabAB019'sé漢字😀") for _ in range(n))
+        assert own.encode_batch([text, text]) == [judge.encode_ordinary(text)] * 2
+        assert len(own.memory) <= 20 + 7 + 50
+
+
+def test_a_worker_holds_little_beside_its_texts():
+    own, rng = ByteBPE(vocabulary_path(), split_pattern()), random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    texts = pa.array([" ".join(word() for _ in range(200)) for _ in range(1500)])
+    tracemalloc.start()
+    try:
+        for _, some in steps(texts, byte_bpe.STEP_BYTES):
+            own.encode_batch(some)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 << 20, (held, peak)
